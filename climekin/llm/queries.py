@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from climekin.llm import exact_dedup, mixing, packing, token_counts, token_store
+from climekin.llm import exact_dedup, mixing, near_dedup, packing, token_counts, token_store
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
     "op6_packing": packing.op6_packing,
 }
 
