@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from climekin.llm import exact_dedup, mixing, near_dedup, packing, token_counts, token_store
+from climekin.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts, token_store, topk_search
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op8_quality": quality.op8_quality,
+    "op4_topk_search": topk_search.op4_topk_search,
     "op6_packing": packing.op6_packing,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.OP3_SQL,
+    "op4_topk_search": topk_search.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
