@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from climekin.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts, token_store, topk_search
+from climekin.llm import exact_dedup, html_extract, mixing, near_dedup, packing, quality, token_counts, token_store, topk_search
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op8_quality": quality.op8_quality,
     "op4_topk_search": topk_search.op4_topk_search,
+    "op5_html_text": html_extract.op5_html_text,
     "op6_packing": packing.op6_packing,
 }
 
