@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from climekin.llm import exact_dedup, html_extract, mixing, near_dedup, packing, quality, token_counts, token_store, topk_search
+from climekin.llm import exact_dedup, html_extract, mixing, near_dedup, packing, quality, substring_dedup, token_counts, token_store, topk_search
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op4_topk_search": topk_search.op4_topk_search,
     "op5_html_text": html_extract.op5_html_text,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op6_packing": packing.op6_packing,
 }
 
