@@ -39,14 +39,13 @@ def plan_of(df):
 def test_plans(spark):
     from climekin import search
 
-    f, r = queries._grid(spark, DATA)
+    f, r = queries._xy(spark, DATA)
     o = {"coord_type": "projected", "focal_id": "id", "ref_id": "id"}
     grid = plan_of(search(f, r, "count", max_geog=2.0, plan="grid", **o))
     assert "BroadcastHashJoin" in grid and "NestedLoop" not in grid
-    top = plan_of(search(f, r, "knn_geog", 0.5, k=3, plan="grid", **o))
-    assert "WindowGroupLimit" in top
-    bare = plan_of(queries.QUERIES["all_xy_nodist"](spark, DATA))
-    assert "label" not in bare.split("Physical Plan")[-1].split("ReadSchema")[-1]
+    assert "WindowGroupLimit" in plan_of(search(f, r, "knn_geog", 0.5, k=3, plan="grid", **o))
+    read = plan_of(queries.QUERIES["all_xy_nodist"](spark, DATA)).split("ReadSchema: ")[-1]
+    assert "embedding" in read and "label" not in read.splitlines()[0]
 
 
 def test_entry_without_llm(monkeypatch):
