@@ -10,9 +10,9 @@ from climekin.operators.candidates import Plan, candidates, choose, matches
 from climekin.plans.spec import Mode, SearchSpec
 from climekin.sources.points import climate, extent, known, looks_lonlat
 
-#: From so many pairs in the product on, one nearest is found by two hash
-#: aggregations instead of a sort of all matches.
-TWO_PASS_PRODUCT = 200_000_000
+#: From so many pairs in the product on, nearest neighbours take a first pass
+#: of hash aggregations that bounds each focal point's k-th distance.
+BOUND_PRODUCT = 20_000_000
 
 
 def _pair_columns(spec: SearchSpec) -> list:
@@ -25,12 +25,15 @@ def _nearest(pairs: DataFrame, key: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def _nearest_one(pairs: DataFrame, key: str) -> DataFrame:
-    """k = 1 without sorting the matches: least distance, then least id at that distance."""
-    least = pairs.groupBy(F.col("f_id").alias("m_id")).agg(F.min(key).alias("m_key"))
-    at = pairs.join(least, (F.col("f_id") == F.col("m_id")) & (F.col(key) == F.col("m_key")))
-    first = at.groupBy("m_id").agg(F.min("r_id").alias("m_ref"))
-    return at.drop("m_id", "m_key").join(first, (F.col("f_id") == F.col("m_id")) & (F.col("r_id") == F.col("m_ref"))).drop("m_id", "m_ref")
+def _bounds(pairs: DataFrame, key: str, k: int) -> DataFrame:
+    """id, bound: a distance that the k-th nearest can't exceed, where known.
+
+    References fall into buckets; the k-th of the buckets' least distances is
+    the distance of one of k different points.  No match is sorted for it.
+    """
+    buckets = 1 if k == 1 else 4 * k
+    least = pairs.groupBy(F.col("f_id").alias("id"), F.pmod(F.xxhash64("r_id"), F.lit(buckets)).alias("bucket")).agg(F.min(key).alias("d"))
+    return least.groupBy("id").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias("bound"))
 
 
 def run(focal: DataFrame, ref: DataFrame, spec: SearchSpec, force: str | None = None) -> DataFrame:
@@ -50,8 +53,11 @@ def run(focal: DataFrame, ref: DataFrame, spec: SearchSpec, force: str | None =
         return pairs.select(*_pair_columns(spec))
     if spec.mode.nearest:
         key = "clim_dist" if spec.mode is Mode.KNN_CLIM else "geog_dist"
-        two = spec.k == 1 and stats["focal"]["n"] * stats["ref"]["n"] >= TWO_PASS_PRODUCT
-        return (_nearest_one(pairs, key) if two else _nearest(pairs, key, spec.k)).select(*_pair_columns(spec))
+        if stats["focal"]["n"] * stats["ref"]["n"] >= BOUND_PRODUCT:
+            bounded = good_focal.join(_bounds(pairs, key, spec.k), "id")
+            pairs = matches(candidates(bounded, good_ref, plan, stats), spec, lonlat, variables)
+            pairs = pairs.where(F.col("f_bound").isNull() | (F.col(key) <= F.col("f_bound")))
+        return _nearest(pairs, key, spec.k).select(*_pair_columns(spec))
     if spec.mode is Mode.COUNT:
         value = F.count(F.lit(1)).cast("double")
     else:

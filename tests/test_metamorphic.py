@@ -69,10 +69,11 @@ def test_shift(data):
     assert a[KEYS].values.tolist() == b[KEYS].values.tolist()
 
 
-def test_one_nearest_in_two_passes(data, monkeypatch):
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_bounded_first(data, monkeypatch, k):
     f, r, o, _ = data
-    spec = SearchSpec.make("knn_clim", 1.0, coord_type=o["coord_type"])
+    spec = SearchSpec.make("knn_clim", 1.0, k=k, coord_type=o["coord_type"])
     a = frame(engine.run(normalise(f), normalise(r), spec))
-    monkeypatch.setattr(engine, "TWO_PASS_PRODUCT", 0)
+    monkeypatch.setattr(engine, "BOUND_PRODUCT", 0)
     b = frame(engine.run(normalise(f), normalise(r), spec))
     pd.testing.assert_frame_equal(a, b)
