@@ -7,12 +7,13 @@
     holds a value below the next rank no later rank can lower any, and the
     document is done, mostly after two or three ranks of all its elements.
 2.  Documents of one set are a class, and the class's smallest id its node.
-3.  Nodes that share a band are candidates.  A bucket never emits its pairs:
-    in each round a few members of it (one in the first) are compared with
-    those that are not yet in their component, and then leave the bucket.
-    A bucket is done when its rest lies in one component.  So every pair of
-    a bucket is either compared or known to be connected.
-4.  Candidates are confirmed on full sets; union-find groups the links.
+3.  Nodes that share a band are candidates.  A bucket never emits its pairs
+    at once: in each round some members of it (one in the first, then more)
+    are compared with those that are not yet in their component, and then
+    leave the bucket.  A bucket is done when its rest lies in one component.
+    So every pair of a bucket is either compared or known to be connected.
+4.  Pairs whose signatures rule a link out go; the others are confirmed on
+    full sets, and union-find groups the links.
 
 With 25 bands of 5 rows a pair at the threshold 0.85 shares no band with
 probability 4e-7, and less above it.
@@ -38,8 +39,12 @@ BANDS, ROWS = 25, 5
 SHINGLE = 5
 #: Documents are signed together up to so many shingles.
 BATCH_SHINGLES = 150_000
-#: Members of a bucket that one round compares with the rest, in later rounds.
-REPRESENTATIVES = (1, 4, 8, 16, 32)
+#: Members of a bucket that a round compares with the rest, about: first round, second, ...
+REPRESENTATIVES = (1, 4, 16, 64, 256)
+#: Candidates whose signatures agree in fewer slots than this many standard
+#: deviations below the threshold are refuted without their sets; a pair at
+#: the threshold is lost with probability 1e-9.
+DEVIATIONS = 6.0
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
@@ -112,19 +117,21 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(bands: int, rows: int, size: int):
     import xxhash
 
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 
     def flush(keys, sets):
         n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
         out: list = [None] * len(sets)
+        slots: list = [None] * len(sets)
         if len(full):
             doc = np.repeat(np.arange(len(full)), n[full])
-            b = bands_of(superminhash(np.concatenate([sets[i] for i in full]), doc, len(full), bands * rows), bands, rows).tolist()
-            for i, x in zip(full, b):
-                out[i] = x
+            signature = superminhash(np.concatenate([sets[i] for i in full]), doc, len(full), bands * rows)
+            short = mix64(signature).astype(np.uint8)
+            for i, x, y in zip(full, bands_of(signature, bands, rows).tolist(), short):
+                out[i], slots[i] = x, y.tobytes()
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(slots, pa.binary())], schema=schema)
 
     def sign(batches):
         with np.errstate(over="ignore"):
@@ -155,6 +162,20 @@ def _sets(size: int):
     return make
 
 
+def _agree(percent: int, slots: int):
+    """Pairs with the short slots of both -> whether a link is possible."""
+    j = percent / 100
+    least = slots * (j + (1 - j) / 256) - DEVIATIONS * (slots * j * (1 - j)) ** 0.5
+
+    def agree(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(axis=1) >= least, pa.bool_())], ["u", "v", "maybe"])
+
+    return agree
+
+
 def _confirm(percent: int):
     def confirm(batches):
         for batch in batches:
@@ -173,9 +194,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     """k, n (shingles), node, component of every row; links are sets with 100 * common >= percent * union."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    signed = stage(texts.mapInArrow(_sign(bands, rows, size), "k long, n long, digest binary, bands array<long>"), "near-signed")
+    signed = stage(texts.mapInArrow(_sign(bands, rows, size), "k long, n long, digest binary, bands array<long>, slots binary"), "near-signed")
     same = signed.where("n > 0").groupBy("n", "digest").agg(F.min("k").alias("node"))
-    noded = stage(signed.join(same, ["n", "digest"], "left").select("k", "n", "node", F.when(F.col("k") == F.col("node"), F.col("bands")).alias("bands")), "near-noded")
+    noded = stage(signed.join(same, ["n", "digest"], "left").select("k", "n", "node", *[F.when(F.col("k") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "slots")]), "near-noded")
 
     # Buckets of two nodes or more, with their members.
     member = noded.where("bands is not null").select("node", F.explode("bands").alias("b"))
@@ -193,6 +214,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         nodes = F.broadcast(nodes)
     wanted = texts.join(nodes, F.col("k") == F.col("want"), "left_semi")
     sets = stage(wanted.mapInArrow(_sets(size), "node long, members binary"), "near-sets")
+    short = stage(noded.where("slots is not null").join(nodes, F.col("node") == F.col("want"), "left_semi").select("node", "slots"), "near-slots")
+
+    def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        x, y = (table.select(F.col("node").alias(f"s{i}"), F.col(column).alias(f"m{i}")) for i in "xy")
+        return pairs.join(x, F.col("u") == F.col("sx")).join(y, F.col("v") == F.col("sy")).select("u", "v", "mx", "my")
 
     labels = spark.createDataFrame([], "node long, root long")
     refuted = spark.createDataFrame([], "u long, v long")
@@ -202,26 +228,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
             placed = member.join(l, F.col("node") == F.col("ln"), "left").select("b", "node", F.coalesce("root", "node").alias("root"))
         else:
             placed = member.withColumn("root", F.col("node"))
+        buckets = placed.groupBy(F.col("b").alias("ob")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("lo < hi")
         count = REPRESENTATIVES[min(number, len(REPRESENTATIVES) - 1)]
-        picks = [F.min("node")] if count == 1 else [F.min(F.struct(F.xxhash64("node", F.lit(i)), F.col("node")))["node"] for i in range(count)]
-        open_ = placed.groupBy(F.col("b").alias("ob")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *[p.alias(f"p{i}") for i, p in enumerate(picks)]).where("lo < hi")
-        reps = stage(open_.select("ob", F.array_distinct(F.array(*[f"p{i}" for i in range(count)])).alias("reps")), "near-reps")
-        if reps.isEmpty():
+        drawn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(count)) / F.col("size")
+        rep = F.col("node") == F.col("first") if count == 1 else drawn | (F.col("node") == F.col("first"))
+        placed = stage(placed.join(buckets, F.col("b") == F.col("ob")).select("b", "node", "root", rep.alias("rep")), "near-placed")
+        if placed.isEmpty():
             break
-        placed = placed.join(reps, F.col("b") == F.col("ob"))
-        pairs = placed.select("node", "root", F.explode("reps").alias("rep")).where("node <> rep")
-        pairs = pairs.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).distinct()
+        reps = placed.where("rep").select(F.col("b").alias("rb"), F.col("node").alias("rn"), F.col("root").alias("rr"))
+        pairs = placed.join(reps, F.col("b") == F.col("rb")).where("root <> rr").select(F.greatest("node", "rn").alias("u"), F.least("node", "rn").alias("v")).distinct()
         if number:
-            a, b = (labels.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
-            pairs = pairs.join(a, F.col("u") == F.col("na"), "left").join(b, F.col("v") == F.col("nb"), "left").where(F.coalesce("ra", "u") != F.coalesce("rb", "v")).select("u", "v")
             pairs = pairs.join(refuted, ["u", "v"], "left_anti")
-        x, y = (sets.select(F.col("node").alias(f"s{i}"), F.col("members").alias(f"m{i}")) for i in "xy")
-        judged = pairs.join(x, F.col("u") == F.col("sx")).join(y, F.col("v") == F.col("sy")).select("u", "v", "mx", "my")
-        judged = stage(judged.mapInArrow(_confirm(percent), "u long, v long, good boolean"), "near-judged")
-        labels = relabel(labels, judged.where("good").select("u", "v"))
-        refuted = refuted.unionByName(judged.where("not good").select("u", "v"))
-        # Compared members leave their buckets; finished buckets go.
-        member = stage(placed.where(~F.array_contains("reps", F.col("node"))).select("b", "node"), "near-members")
+        judged = stage(with_both(pairs, short, "slots").mapInArrow(_agree(percent, bands * rows), "u long, v long, maybe boolean"), "near-agree")
+        refuted = refuted.unionByName(judged.where("not maybe").select("u", "v"))
+        maybe = judged.where("maybe").select("u", "v")
+        if not maybe.isEmpty():
+            confirmed = stage(with_both(maybe, sets, "members").mapInArrow(_confirm(percent), "u long, v long, good boolean"), "near-judged")
+            labels = relabel(labels, confirmed.where("good").select("u", "v"))
+            refuted = refuted.unionByName(confirmed.where("not good").select("u", "v"))
+        # Compared members leave their buckets; finished buckets are gone.
+        member = placed.where(~F.col("rep")).select("b", "node")
 
     l = labels.select(F.col("node").alias("ln"), "root")
     return noded.join(l, F.col("node") == F.col("ln"), "left").select("k", "n", "node", F.coalesce("root", "node", "k").alias("component"))
