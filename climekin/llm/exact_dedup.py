@@ -22,6 +22,8 @@ documents' digests; Spark splits a hot digest (skew join).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # Many partitions have little state each; 4 MB set aside for each one's log would be most of the disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -54,21 +58,21 @@ def located(docs: DataFrame, file: str, row: str) -> DataFrame:
     return docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
 
 
-def _stream(slim_path: str, slim: DataFrame, state: str, out: str) -> None:
-    """Bring the keyed state up to date with the rows under a path; changed keys go to ``out``."""
+def _stream(slim: DataFrame, state: str, out: str) -> None:
+    """Bring the keyed state up to date with the folders of keys in it; changed keys go to ``out``."""
     spark = slim.sparkSession
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema(slim.schema).parquet(slim_path)
+        rows = spark.readStream.schema(slim.schema).parquet(f"{state}/keys/*")
         last = F.max(F.struct(F.col("key").isNotNull().alias("known"), "key", "file", "row")).alias("last")
         keyed = rows.groupBy("digest").agg(last, F.count(F.lit(1)).alias("n"))
 
         def put(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-        query = keyed.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+        query = keyed.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
@@ -90,11 +94,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", state: str
     n = with_columns_free(["file", "row"], docs.columns)
     rows = located(docs, n["file"], n["row"])
     rows = rows.select(F.col(key).alias("key"), digest(content).alias("digest"), F.col(n["file"]).alias("file"), F.col(n["row"]).alias("row"), content.alias("content"))
-    slim_path, state = new_path(spark, "dedup-keys"), state or new_path(spark, "dedup-state")
-    slim = stage_at(rows.drop("content"), slim_path)
+    state = state or new_path(spark, "dedup-state")
+    slim = stage_at(rows.drop("content"), f"{state}/keys/{uuid.uuid4().hex}")
     out = new_path(spark, "dedup-out")
     if not slim.isEmpty():
-        _stream(slim_path, slim, state, out)
+        _stream(slim, state, out)
         # Groups only grow, so that the last change of a key has the most rows.
         found = spark.read.parquet(out)
     else:
