@@ -9,6 +9,10 @@ and frequent pieces are encoded once for each worker process:
   and makes such a line feed a piece of its own.
 * word BPE whose split pattern drops white space: at spaces and line feeds.
 
+A piece of letters of Basic Latin and Latin-1 with marks after it is the
+piece of its letters and that of its marks, and letters alone go straight to
+the library's BPE model, since no step before it changes them further.
+
 A text that holds the string of an added token is encoded whole.  A test
 compares every cut against the library on the whole text.
 """
@@ -19,27 +23,31 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Entries of one cache; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
 _AWKWARD = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Marks that are neither letter, number, white space nor part of a contraction.
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)\Z")
 
 
 class _Pieces(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode):
         super().__init__()
-        self._encode, self._prefix = encode, prefix
+        self._encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(self._prefix + piece)
+        ids = self._encode(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -52,7 +60,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -70,11 +78,36 @@ class Encoder:
             and "\\s" in first["pattern"].get("Regex", "")
         )
         self._kind = "bytes" if byte_level else "words" if words else "whole"
-        self._bare, self._spaced = _Pieces(self._whole, ""), _Pieces(self._whole, " ")
+        # What the byte-level step makes of single characters.
+        step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._shown = {c: step.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(33, 127), *range(0xC0, 0x100)]}
+        self._model = self.tokenizer.model
+        self._bare, self._spaced = _Pieces(self._piece), _Pieces(self._spaced_piece)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, text: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(text.translate(self._shown))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        plain = _PLAIN.match(piece)
+        if not plain:
+            return self._whole(piece)
+        letters, marks = plain.groups()
+        if self._kind == "words":
+            letters = letters.lower()
+        if marks:
+            return self._bare[letters] + self._bare[marks]
+        return self._letters(letters) if letters == piece else self._bare[letters]
+
+    def _spaced_piece(self, piece: str) -> bytes:
+        plain = _PLAIN.match(piece)
+        if not plain:
+            return self._whole(" " + piece)
+        letters, marks = plain.groups()
+        return self._spaced[letters] + self._bare[marks] if marks else self._letters(" " + letters)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
