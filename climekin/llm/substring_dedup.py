@@ -345,7 +345,7 @@ def _judge(shards: int):
                     join = np.ones(len(window), bool)
                     join[1:] = (owner[1:] != owner[:-1]) | (window[1:] > window[:-1] + LENGTH)
                     head = np.flatnonzero(join)
-                    tail = np.concatenate((head[1:], [len(window)])) - 1
+                    tail = np.concatenate((head[1:], [len(window)]))[: len(head)] - 1
                     spans: dict[int, list[tuple[int, int]]] = {}
                     for o, a, b in zip(owner[head].tolist(), window[head].tolist(), (window[tail] + LENGTH).tolist()):
                         spans.setdefault(o, []).append((a, b))
