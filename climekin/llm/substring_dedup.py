@@ -47,7 +47,9 @@ BATCH_BYTES = 4 << 20
 #: Fine shards of segments for each shuffle partition.
 FINE = 16
 #: Bytes of distinct segments that one block holds before it sends them on.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 24 << 20
+#: Repeated spans that a task holds before it sends them on.
+HELD_SPANS = 1_000_000
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 _U = np.uint64
@@ -314,8 +316,8 @@ def _judge(shards: int):
 
     def judge(batches):
         with np.errstate(over="ignore"):
+            rows, starts, ends = [], [], []
             for _, parts in _runs_of(batches, 7):
-                rows, starts, ends = [], [], []
                 best: dict[bytes, int] = {}
                 places = []
                 for _, kind, d, r, s, n, data in parts:
@@ -360,8 +362,12 @@ def _judge(shards: int):
                         rows.append(g[0])
                         starts.append(g[1])
                         ends.append(g[2])
-                if rows:
+                # Spans of many fine shards leave together: one row for each block.
+                if sum(map(len, rows)) >= HELD_SPANS:
                     yield send(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends))
+                    rows, starts, ends = [], [], []
+            if rows:
+                yield send(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends))
 
     return judge
 
