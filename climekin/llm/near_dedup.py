@@ -41,6 +41,8 @@ SHINGLE = 5
 BATCH_SHINGLES = 150_000
 #: Members of a bucket that a round compares with the rest, about: first round, second, ...
 REPRESENTATIVES = (1, 4, 16, 64, 256)
+#: Members of a bucket that one part holds, about.
+PART_MEMBERS = 2048
 #: Candidates whose signatures agree in fewer slots than this many standard
 #: deviations below the threshold are refuted without their sets; a pair at
 #: the threshold is lost with probability 1e-9.
@@ -162,18 +164,38 @@ def _sets(size: int):
     return make
 
 
-def _agree(percent: int, slots: int):
-    """Pairs with the short slots of both -> whether a link is possible."""
+def _compare(percent: int, slots: int):
+    """Rows (bucket, part, whether a representative, node, root, slots) of whole parts, representatives first -> pairs that may be links."""
     j = percent / 100
     least = slots * (j + (1 - j) / 256) - DEVIATIONS * (slots * j * (1 - j)) ** 0.5
 
-    def agree(batches):
+    def compare(batches):
+        part, nodes, roots, short = None, [], [], None
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(axis=1) >= least, pa.bool_())], ["u", "v", "maybe"])
-
-    return agree
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1)])
+            is_rep, node, root = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in (2, 3, 4))
+            own = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, slots)
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            found = []
+            for a, b in zip(edges, edges[1:]):
+                if b == a:
+                    continue
+                if part != (keys[0, a], keys[1, a]):
+                    part, nodes, roots, short = (keys[0, a], keys[1, a]), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, slots), np.uint8)
+                r = a + int(is_rep[a:b].sum())
+                nodes, roots, short = np.concatenate((nodes, node[a:r])), np.concatenate((roots, root[a:r])), np.concatenate((short, own[a:r]))
+                for i in range(r, b, 256):
+                    some = slice(i, min(b, i + 256))
+                    good = (own[some][:, None, :] == short[None]).sum(axis=2) >= least
+                    good &= root[some][:, None] != roots[None]
+                    m, n = np.nonzero(good)
+                    found.append(np.stack((node[some][m], nodes[n])))
+            if found:
+                both = np.concatenate(found, axis=1)
+                both = np.unique(np.stack((both.max(axis=0), both.min(axis=0))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["u", "v"])
+
+    return compare
 
 
 def _confirm(percent: int):
@@ -196,7 +218,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     signed = stage(texts.mapInArrow(_sign(bands, rows, size), "k long, n long, digest binary, bands array<long>, slots binary"), "near-signed")
     same = signed.where("n > 0").groupBy("n", "digest").agg(F.min("k").alias("node"))
-    noded = stage(signed.join(same, ["n", "digest"], "left").select("k", "n", "node", *[F.when(F.col("k") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "slots")]), "near-noded")
+    noded = stage(signed.join(same, ["n", "digest"], "left").select("k", "n", F.when(F.col("k").isNotNull(), F.col("node")).alias("node"), *[F.when(F.col("k") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "slots")]), "near-noded")
 
     # Buckets of two nodes or more, with their members.
     member = noded.where("bands is not null").select("node", F.explode("bands").alias("b"))
@@ -232,16 +254,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         count = REPRESENTATIVES[min(number, len(REPRESENTATIVES) - 1)]
         drawn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(count)) / F.col("size")
         rep = F.col("node") == F.col("first") if count == 1 else drawn | (F.col("node") == F.col("first"))
-        placed = stage(placed.join(buckets, F.col("b") == F.col("ob")).select("b", "node", "root", rep.alias("rep")), "near-placed")
+        parts = F.ceil(F.col("size") / PART_MEMBERS).cast("int")
+        placed = stage(placed.join(buckets, F.col("b") == F.col("ob")).select("b", "node", "root", rep.alias("rep"), parts.alias("parts")), "near-placed")
         if placed.isEmpty():
             break
-        reps = placed.where("rep").select(F.col("b").alias("rb"), F.col("node").alias("rn"), F.col("root").alias("rr"))
-        pairs = placed.join(reps, F.col("b") == F.col("rb")).where("root <> rr").select(F.greatest("node", "rn").alias("u"), F.least("node", "rn").alias("v")).distinct()
+        # Every part of a bucket gets its representatives; pairs are made within the tasks and only possible links leave them.
+        every = placed.join(short, "node").select("b", "node", "root", "rep", "slots", "parts")
+        everyone = every.select("b", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("rep"), "node", "root", "slots")
+        reps = every.where("rep").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "node", "root", "slots")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = reps.unionByName(everyone).repartition(tasks, "b", "part").sortWithinPartitions("b", "part", F.desc("rep"))
+        maybe = dealt.mapInArrow(_compare(percent, bands * rows), "u long, v long").distinct()
         if number:
-            pairs = pairs.join(refuted, ["u", "v"], "left_anti")
-        judged = stage(with_both(pairs, short, "slots").mapInArrow(_agree(percent, bands * rows), "u long, v long, maybe boolean"), "near-agree")
-        refuted = refuted.unionByName(judged.where("not maybe").select("u", "v"))
-        maybe = judged.where("maybe").select("u", "v")
+            maybe = maybe.join(refuted, ["u", "v"], "left_anti")
+        maybe = stage(maybe, "near-maybe")
         if not maybe.isEmpty():
             confirmed = stage(with_both(maybe, sets, "members").mapInArrow(_confirm(percent), "u long, v long, good boolean"), "near-judged")
             labels = relabel(labels, confirmed.where("good").select("u", "v"))
