@@ -49,6 +49,7 @@ def main() -> None:
         began = time.perf_counter()
         run().write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     sf = sf_dir.rstrip("/").rpartition("sf")[2]
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 
