@@ -12,7 +12,7 @@ from climekin.sources.points import climate, extent, known, looks_lonlat
 
 #: From so many pairs in the product on, nearest neighbours take a first pass
 #: of hash aggregations that bounds each focal point's k-th distance.
-BOUND_PRODUCT = 20_000_000
+BOUND_PRODUCT = 1_000_000
 
 
 def _pair_columns(spec: SearchSpec) -> list:
