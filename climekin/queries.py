@@ -205,12 +205,18 @@ def _index_sql(max_clim=None, max_geog=None) -> str:
 
 
 def velocity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The harness query: sampled cells of one era against all cells of the next."""
+    """The harness query: the cells of one era that its SQL names, a hundredth, against all cells of the next."""
     a, b = _grid(spark, sf_dir)
-    some = a.where("(id * 7919) % 1000 < 10")
+    some = a.where("(CAST(id AS BIGINT) * 7919) % 1000 < 10")
     return _rounded(api.velocity(some, b, 0.5, coord_type="projected", focal_id="id", ref_id="id"))
 
 
+def velocity_grid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of one era against all cells of the next."""
+    a, b = _grid(spark, sf_dir)
+    return _rounded(api.velocity(a, b, 0.5, coord_type="projected", focal_id="id", ref_id="id"))
+
+
 def stream_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """availability_ll with the focal points arriving as a stream."""
     return _rounded(search_stream_once(spark, *_ll(spark, sf_dir), mode="count", max_clim=1.0, max_geog=2000.0, coord_type="lonlat"))
@@ -225,6 +231,7 @@ QUERIES |= {
     "index_stats_ll_clim": _index_stats(max_clim=0.5),
     "index_stats_none": _index_stats(),
     "velocity_grid": velocity_grid,
+    "velocity_grid_full": velocity_grid_full,
     "stream_availability": stream_availability,
 }
 
@@ -251,5 +258,15 @@ ORACLE_SQL |= {
     + "FROM a f, a r WHERE (f.id * 7919) % 1000 < 10 AND sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) <= 0.5) "
     + "SELECT focal_index, focal_x, focal_y, analog_index, analog_x, analog_y, round(clim, 6) AS clim_dist, round(geog, 6) AS geog_dist "
     + "FROM (SELECT *, row_number() OVER (PARTITION BY focal_index ORDER BY geog, analog_index) AS n FROM p) WHERE n = 1",
+    # The least distance of each focal cell, then the least index at it: no pair is sorted.
+    "velocity_grid_full": _GRID
+    + "p AS (SELECT f.id AS focal_index, f.x AS focal_x, f.y AS focal_y, r.id AS analog_index, r.x AS analog_x, r.y AS analog_y, "
+    + "sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) AS clim, " + _PLANAR + " AS geog "
+    + "FROM a f, a r WHERE sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) <= 0.5), "
+    + "b AS (SELECT focal_index AS i, arg_min(analog_index, struct_pack(d := geog, a := analog_index)) AS n FROM p GROUP BY focal_index), "
+    + "q AS (SELECT f.id AS focal_index, f.x AS focal_x, f.y AS focal_y, r.id AS analog_index, r.x AS analog_x, r.y AS analog_y, "
+    + "sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) AS clim, " + _PLANAR + " AS geog "
+    + "FROM a f JOIN b ON f.id = b.i JOIN a r ON r.id = b.n) "
+    + "SELECT focal_index, focal_x, focal_y, analog_index, analog_x, analog_y, round(clim, 6) AS clim_dist, round(geog, 6) AS geog_dist FROM q",
     "stream_availability": ORACLE_SQL["availability_ll"],
 }
