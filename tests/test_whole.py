@@ -30,3 +30,15 @@ def test_velocity_grid_of_large_ids(spark, monkeypatch):
     monkeypatch.setattr(queries, "_grid", lambda *_: (far(1), far(2)))
     got = {x["focal_index"] for x in queries.velocity_grid(spark, "").collect()}
     assert got <= {i for i in range(300001, 300401) if i * 7919 % 1000 < 10} and got
+
+
+@needs_data
+def test_every_vector_is_a_focal_point(spark):
+    ids = {x["id"] for x in spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("CAST(vec_id + 1 AS INT) AS id").collect()}
+    names = [n for n, (t, _, _) in queries.CATALOGUE.items() if t == "xy"]
+    assert len(names) == 10
+    for n in names:
+        got = queries.QUERIES[f"{n}_full"](spark, DATA).select("focal_index").distinct().collect()
+        found = {x["focal_index"] for x in got}
+        # Each vector is its own match at distance 0.
+        assert found == ids, n
