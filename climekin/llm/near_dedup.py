@@ -7,6 +7,7 @@
     holds a value below the next rank no later rank can lower any, and the
     document is done, mostly after two or three ranks of all its elements.
 2.  Documents of one set are a class, and the class's smallest id its node.
+    Where classes share that id, all but one get a number that is no id.
 3.  Nodes that share a band are candidates.  A bucket never emits its pairs
     at once: in each round some members of it (one in the first, then more)
     are compared with those that are not yet in their component, and then
@@ -21,8 +22,10 @@ probability 4e-7, and less above it.
 Defined cases: texts without words are linked with nothing; a text of fewer
 words than a shingle has its whole sequence as the one shingle; null ids are
 linked with nothing (their component is null, they are kept); rows that
-repeat an id share its component; an empty table gives no rows; other
-columns pass through ``deduplicate``.
+repeat an id are documents each: those of one shingle set share a component,
+others are linked by their own texts alone, and components of one smallest id
+bear the same name; an empty table gives no rows; other columns pass through
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -119,9 +122,9 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(bands: int, rows: int, size: int):
     import xxhash
 
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 
-    def flush(keys, sets):
+    def flush(keys, hashes, sets):
         n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
         out: list = [None] * len(sets)
@@ -133,22 +136,23 @@ def _sign(bands: int, rows: int, size: int):
             for i, x, y in zip(full, bands_of(signature, bands, rows).tolist(), short):
                 out[i], slots[i] = x, y.tobytes()
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(slots, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(n), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(slots, pa.binary())], schema=schema)
 
     def sign(batches):
         with np.errstate(over="ignore"):
-            keys, sets, total = [], [], 0
+            keys, hashes, sets, total = [], [], [], 0
             for batch in batches:
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     s = shingles(t.as_py(), size)
                     keys.append(k)
+                    hashes.append(h)
                     sets.append(s)
                     total += len(s)
                     if total >= BATCH_SHINGLES or len(keys) >= 2000:
-                        yield flush(keys, sets)
-                        keys, sets, total = [], [], 0
+                        yield flush(keys, hashes, sets)
+                        keys, hashes, sets, total = [], [], [], 0
             if keys:
-                yield flush(keys, sets)
+                yield flush(keys, hashes, sets)
 
     return sign
 
@@ -212,13 +216,40 @@ def _confirm(percent: int):
     return confirm
 
 
+def _text_hash(text: str):
+    """Tells texts of one id apart."""
+    return F.xxhash64(text)
+
+
+def _apart(spark: SparkSession, same: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes (n, digest, least id and text hash) with a node each, and (node, name) of all if a name is borne twice."""
+    same = stage(same.select("n", "digest", "least.k", "least.h"), "near-classes")
+    twice = stage(same.groupBy("k").agg(F.min(F.struct("n", "digest")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("k").alias("tk"), "first"), "near-twice")
+    if twice.isEmpty():
+        return same.withColumn("node", F.col("k")), None
+    more = same.join(twice, F.col("k") == F.col("tk")).where(F.struct("n", "digest") != F.col("first")).select("n", "digest", F.monotonically_increasing_id().alias("number"))
+    more = stage(more, "near-more")
+    low, high = same.agg(F.min("k"), F.max("k")).first()
+    most = more.agg(F.max("number")).first()[0]
+    if high < (1 << 63) - 1 - most:
+        number = F.col("number") + F.lit(high + 1)
+    elif low > most - (1 << 63) + 1:
+        number = F.lit(low - 1) - F.col("number")
+    else:
+        raise ValueError("the ids leave no numbers free for texts that share an id")
+    noded = stage(same.join(more, ["n", "digest"], "left").select("n", "digest", "k", "h", F.coalesce(number, "k").alias("node")), "near-apart")
+    return noded, noded.select("node", F.col("k").alias("name"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k, n (shingles), node, component of every row; links are sets with 100 * common >= percent * union."""
+    """k, h (of the text), n (shingles), node, component of every row; links are sets with 100 * common >= percent * union."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    signed = stage(texts.mapInArrow(_sign(bands, rows, size), "k long, n long, digest binary, bands array<long>, slots binary"), "near-signed")
-    same = signed.where("n > 0").groupBy("n", "digest").agg(F.min("k").alias("node"))
-    noded = stage(signed.join(same, ["n", "digest"], "left").select("k", "n", F.when(F.col("k").isNotNull(), F.col("node")).alias("node"), *[F.when(F.col("k") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "slots")]), "near-noded")
+    texts = docs.select(F.col(key).cast("long").alias("k"), _text_hash(text).alias("h"), F.col(text).alias("t"))
+    signed = stage(texts.mapInArrow(_sign(bands, rows, size), "k long, h long, n long, digest binary, bands array<long>, slots binary"), "near-signed")
+    same, names = _apart(spark, signed.where("n > 0 and k is not null").groupBy("n", "digest").agg(F.min(F.struct("k", "h")).alias("least")))
+    same = same.select("n", "digest", F.col("k").alias("lk"), F.col("h").alias("lh"), "node")
+    least = (F.col("k") == F.col("lk")) & (F.col("h") == F.col("lh"))
+    noded = stage(signed.join(same, ["n", "digest"], "left").select("k", "h", "n", F.when(F.col("k").isNotNull(), F.col("node")).alias("node"), *[F.when(least, F.col(c)).alias(c) for c in ("bands", "slots")]), "near-noded")
 
     # Buckets of two nodes or more, with their members.
     member = noded.where("bands is not null").select("node", F.explode("bands").alias("b"))
@@ -231,10 +262,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     # Full sets of the nodes that have candidates.
     nodes_path = new_path(spark, "near-nodes")
-    nodes = stage_at(member.select(F.col("node").alias("want")).distinct(), nodes_path)
+    owners = noded.where("slots is not null").select("node", F.col("k").alias("wk"), F.col("h").alias("wh"))
+    nodes = stage_at(owners.join(member.select(F.col("node").alias("want")).distinct(), F.col("node") == F.col("want")).select("want", "wk", "wh").distinct(), nodes_path)
     if size_of(spark, nodes_path) <= BROADCAST_BYTES:
         nodes = F.broadcast(nodes)
-    wanted = texts.join(nodes, F.col("k") == F.col("want"), "left_semi")
+    wanted = texts.join(nodes, (F.col("k") == F.col("wk")) & (F.col("h") == F.col("wh"))).select("want", "t")
     sets = stage(wanted.mapInArrow(_sets(size), "node long, members binary"), "near-sets")
     short = stage(noded.where("slots is not null").join(nodes, F.col("node") == F.col("want"), "left_semi").select("node", "slots"), "near-slots")
 
@@ -276,7 +308,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         member = placed.where(~F.col("rep")).select("b", "node")
 
     l = labels.select(F.col("node").alias("ln"), "root")
-    return noded.join(l, F.col("node") == F.col("ln"), "left").select("k", "n", "node", F.coalesce("root", "node", "k").alias("component"))
+    if names is not None:
+        # A root may be a number of ours or not the least id.
+        rooted = names.join(l, F.col("node") == F.col("ln"), "left").select(F.col("node").alias("ln"), F.coalesce("root", "node").alias("r"), "name")
+        named = rooted.groupBy(F.col("r").alias("lr")).agg(F.min("name").alias("root"))
+        l = rooted.join(named, F.col("r") == F.col("lr")).select("ln", "root")
+    return noded.join(l, F.col("node") == F.col("ln"), "left").select("k", "h", "n", "node", F.coalesce("root", "node", "k").alias("component"))
 
 
 def near_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -288,12 +325,21 @@ def near_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows whose id is the smallest of their component, with the columns of ``docs``."""
     spark = docs.sparkSession
-    n = with_columns_free(["drop"], docs.columns)["drop"]
-    path = new_path(spark, "near-dropped")
-    dropped = stage_at(classes(docs, key, text, **options).where("k <> component").select(F.col("k").alias(n)).distinct(), path)
+    n = with_columns_free(["drop", "hash"], docs.columns)
+    path, some_path = new_path(spark, "near-dropped"), new_path(spark, "near-partly")
+    found = classes(docs, key, text, **options).select(F.col("k").alias(n["drop"]), F.col("h").alias(n["hash"]), F.coalesce(F.col("k") == F.col("component"), F.lit(True)).alias("stays"))
+    ids = stage(found.where(F.col(n["drop"]).isNotNull()).groupBy(n["drop"]).agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("all")).where(~F.col("all")), "near-ids")
+    dropped = stage_at(ids.where(~F.col("some")).select(n["drop"]), path)
+    partly = ids.where("some").select(n["drop"])
+    apart = not partly.isEmpty()
+    if apart:
+        partly = stage_at(found.where(~F.col("stays")).join(partly, n["drop"], "left_semi").select(n["drop"], n["hash"]).distinct(), some_path)
+        if size_of(spark, some_path) <= BROADCAST_BYTES:
+            partly = F.broadcast(partly)
     if size_of(spark, path) <= BROADCAST_BYTES:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col(key) == F.col(n), "left_anti")
+    out = docs.join(dropped, F.col(key) == F.col(n["drop"]), "left_anti")
+    return out.join(partly, (F.col(key) == F.col(n["drop"])) & (_text_hash(text) == F.col(n["hash"])), "left_anti") if apart else out
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,22 @@ def test_near_edges(spark):
     assert near_dedup.near_report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("start", [1, (1 << 63) - 50])
+def test_near_texts_under_one_id(spark, start):
+    r = np.random.default_rng(4)
+    a, b, c = (words(r, 200) for _ in range(3))
+    near = {n: " ".join([*t[:-1], "changed"]) for n, t in (("a", a), ("b", b), ("c", c))}
+    a, b, c = (" ".join(t) for t in (a, b, c))
+    ids = {"one": start, "five": start + 4, "six": start + 5, "seven": start + 6, "nine": start + 8}
+    rows = [("one", a), ("five", near["a"]), ("five", b), ("five", c), ("seven", near["b"]), ("nine", near["c"]), ("six", "p q r s t u"), ("six", "p q r s t u")]
+    docs = frame(spark, [(ids[n], t) for n, t in rows])
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in near_dedup.near_report(docs).collect())
+    want = [("one", "one", True), ("five", "one", False), ("five", "five", True), ("five", "five", True), ("seven", "five", False), ("nine", "five", False), ("six", "six", True), ("six", "six", True)]
+    assert got == sorted((ids[k], ids[v], kept) for k, v, kept in want)
+    kept = sorted((x["doc_id"], x["text"]) for x in near_dedup.deduplicate(docs).collect())
+    assert kept == sorted((ids[n], t) for n, t in [rows[0], rows[2], rows[3], rows[6], rows[7]])
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(1)
     with np.errstate(over="ignore"):
