@@ -54,7 +54,9 @@ def run(focal: DataFrame, ref: DataFrame, spec: SearchSpec, force: str | None =
     if spec.mode.nearest:
         key = "clim_dist" if spec.mode is Mode.KNN_CLIM else "geog_dist"
         if stats["focal"]["n"] * stats["ref"]["n"] >= BOUND_PRODUCT:
-            bounded = good_focal.join(_bounds(pairs, key, spec.k), "id")
+            # Points with null ids have their bound too.
+            bounds = _bounds(pairs, key, spec.k).withColumnRenamed("id", "b_id")
+            bounded = good_focal.join(bounds, F.col("id").eqNullSafe(F.col("b_id"))).drop("b_id")
             pairs = matches(candidates(bounded, good_ref, plan, stats), spec, lonlat, variables)
             pairs = pairs.where(F.col("f_bound").isNull() | (F.col(key) <= F.col("f_bound")))
         return _nearest(pairs, key, spec.k).select(*_pair_columns(spec))

@@ -138,3 +138,16 @@ def test_metrics(spark):
         euclid([F.lit(1.0)], [F.lit(1.0), F.lit(2.0)])
     with pytest.raises(Exception):
         one.select(euclid_arrays(F.array(F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0)))).collect()
+
+
+def test_null_ids_keep_neighbours_above_the_bound(spark, monkeypatch):
+    from climekin.operators import search as operator
+
+    focal = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (None, 5.0, 0.0, 0.0)], "id int, x double, y double, c0 double")
+    ref = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(1, 9)], "id int, x double, y double, c0 double")
+    got = []
+    for bound in (1_000_000, 1):
+        monkeypatch.setattr(operator, "BOUND_PRODUCT", bound)
+        out = search(focal, ref, "knn_geog", max_clim=0.5, k=1, coord_type="projected", focal_id="id", ref_id="id").collect()
+        got.append(sorted((x["focal_index"] or 0, x["analog_index"]) for x in out))
+    assert got == [[(0, 5), (1, 1)]] * 2
