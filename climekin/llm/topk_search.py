@@ -13,6 +13,8 @@ Defined cases: vectors that are null or hold a null or non-finite component
 take no part, as queries or candidates; vectors of different lengths don't
 meet; null ids take no part; ties go to the smaller id; rows that repeat an
 id are candidates each, and a query is not answered by rows of its own id;
+query rows that repeat an id and vector ask once, and different vectors of one
+id share one ranking of all their scores, where a candidate may come for each;
 fewer candidates than k give all; an empty table gives no rows.
 
 Scale: queries are taken in blocks of a bounded number of rows, each block
@@ -166,7 +168,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = stage(rows.repartition(tasks, "shard").sortWithinPartitions("shard", "k"), "topk-shards").select("shard", "k", "v")
-    asked = stage(rows.where("q").select("k", "v").dropDuplicates(["k"]), "topk-queries")
+    asked = stage(rows.where("q").select("k", "v").dropDuplicates(["k", "v"]), "topk-queries")
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(blocks)))
     shards_sorted = dealt.repartition(tasks, "shard").sortWithinPartitions("shard")

@@ -250,3 +250,12 @@ def test_pipeline(spark):
             assert used.max() <= packing.CAPACITY and after["length"].sum() >= len(before)
         docs, before = after_df, after
     assert re.fullmatch("[a-z ]+", name)
+
+
+def test_topk_different_vectors_of_one_query(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1, 0]), (0, [0, 1]), (0, [0, 1]), (1, [9, 0]), (2, [0, 8]), (3, [7, 7]), (4, [1, 1])]
+    docs = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = sorted(tuple(x) for x in topk_search.search(docs, F.col("vec_id") == 0, k=4).select("rank", "vec_id", "score").collect())
+    assert got == [(1, 1, 9), (2, 2, 8), (3, 3, 7), (4, 3, 7)]
