@@ -6,8 +6,9 @@ identifier and the locator (file and row) of the row that stays, and the
 number of rows.  With a lasting ``state`` folder a later run goes on from
 that state, so new documents are held against all earlier ones.
 
-A hit is a digest with more than one row.  The full bytes of hits are then
-compared, and a digest whose rows differ is resolved by its full texts.
+A hit is a digest with more than one row.  The full bytes of the run's hits are
+then compared, and a digest whose rows differ is resolved by the run's full
+texts; earlier runs' rows are held against by digest alone.
 
 Defined cases: null text equals the empty text; the largest key stays, a
 null key only if the group has no other; of rows that repeat key and text
@@ -85,8 +86,10 @@ def _stream(slim: DataFrame, state: str, out: str) -> None:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", state: str | None = None, digest=sha256) -> DataFrame:
     """key, file, row, digest, keep_id, keep_file, keep_row, group_size of every row of ``docs``.
 
-    ``digest`` maps a text column to a binary one; any function gives right
-    results, a weaker one costs more byte checks.
+    ``digest`` maps a text column to a binary one.  Within one run any function
+    gives right results, a weaker one costs more byte checks.  Bytes aren't
+    compared with rows of earlier runs in ``state``: there a weak digest may
+    group different texts.
     """
     spark = docs.sparkSession
     content = F.coalesce(F.col(text), F.lit(""))
