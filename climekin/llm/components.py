@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from climekin.llm.scratch import new_path, stage
+from climekin.llm.scratch import Tables
 
 
 def _forest(batches):
@@ -38,9 +38,13 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
-def connect(links: DataFrame) -> DataFrame:
-    """links (u long, v long) -> (node, root): the smallest node that each node reaches, for nodes other than roots."""
+def connect(links: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """links (u long, v long) -> (node, root): the smallest node that each node reaches, for nodes other than roots.
+
+    The result and what lies behind it are scratch tables of ``tables``.
+    """
     spark = links.sparkSession
+    stage = (tables or Tables(spark)).stage
     links = stage(links.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "links")
     labels = spark.createDataFrame([], "node long, root long")
     while not links.isEmpty():
@@ -58,13 +62,13 @@ def connect(links: DataFrame) -> DataFrame:
     return labels
 
 
-def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+def relabel(labels: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """Labels after more links: (node, root) of ``labels`` and ``links`` together."""
     if links.isEmpty():
         return labels
     a, b = (labels.select(F.col("node").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
     roots = links.join(a, F.col("u") == F.col("na"), "left").join(b, F.col("v") == F.col("nb"), "left")
-    found = connect(roots.select(F.coalesce("ra", "u").alias("u"), F.coalesce("rb", "v").alias("v")))
+    found = connect(roots.select(F.coalesce("ra", "u").alias("u"), F.coalesce("rb", "v").alias("v")), tables)
     f = found.select(F.col("node").alias("fn"), F.col("root").alias("fr"))
     moved = labels.join(f, F.col("root") == F.col("fn"), "left").select("node", F.coalesce("fr", "root").alias("root"))
-    return stage(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
+    return tables.stage(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")

@@ -12,9 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Side tables whose measured size is at most this are joined by broadcast;
-#: larger ones take the shuffled way.
+#: Side tables whose rows take at most this much memory are joined by
+#: broadcast; larger ones take the shuffled way.
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
@@ -47,6 +48,18 @@ def size_of(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def memory_of(df: DataFrame) -> int:
+    """Bytes that the rows of a staged table take in memory, strings and binaries measured."""
+    loose = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, *lengths = df.agg(F.count(F.lit(1)), *loose).first()
+    return n * (24 + 8 * len(df.columns)) + sum(x or 0 for x in lengths)
+
+
+def small(df: DataFrame, bound: int | None = None) -> DataFrame:
+    """A staged side table, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if memory_of(df) <= (BROADCAST_BYTES if bound is None else bound) else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -68,6 +81,28 @@ def stage_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Scratch tables of one operator, deleted together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, label))
+        return stage_at(df, self.paths[-1])
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """Write the result, which stays, and delete the tables behind it."""
+        out = stage(df, label)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
 def with_columns_free(names: list[str], taken: list[str]) -> dict[str, str]:
     """Internal column names that clash with none of the caller's columns."""
     used, out = {c.lower() for c in taken}, {}
