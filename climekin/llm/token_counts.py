@@ -12,8 +12,10 @@ other columns are ignored.  Concurrent runs may append a count twice; reads
 take one row for each digest.
 
 Scale: one pass over the texts makes a slim table of digests; a second pass
-encodes the misses where they lie.  No text is shuffled unless the table of
-repeats is too large to broadcast (scratch.BROADCAST_BYTES, measured).
+encodes the misses that stand alone where they lie.  Of the texts that repeat
+one row each is encoded, after an aggregation that leaves one for each task
+and digest.  The table of digests to leave out is broadcast while it takes at
+most scratch.BROADCAST_BYTES; beyond, texts are shuffled by digest once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climekin.llm.encoding import counter, file_digest
-from climekin.llm.scratch import BROADCAST_BYTES, exists, new_path, size_of, stage_at
+from climekin.llm.scratch import Tables, exists, new_path, small
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -39,19 +41,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     version = file_digest(tokenizer)
     content = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(key).alias("k"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("t"))
-    slim_path = new_path(spark, "count-digests")
-    slim = stage_at(keyed.select("k", "digest", F.octet_length("t").cast("long").alias("n_bytes")), slim_path)
-
-    # One row stands for each digest that misses: that with the smallest key.
-    groups = slim.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    tables = Tables(spark)
+    slim = tables.stage(keyed.select("k", "digest", F.octet_length("t").cast("long").alias("n_bytes")), "count-digests")
     hits = _cached(spark, cache, version).select("digest", F.lit(True).alias("hit"))
-    state = slim.join(groups, "digest").join(hits, "digest", "left")
-    skip_path = new_path(spark, "count-skip")
-    skip = stage_at(state.where(F.col("hit") | ~F.col("k").eqNullSafe(F.col("first"))).select("k", "digest").distinct(), skip_path)
-    if size_of(spark, skip_path) <= BROADCAST_BYTES:
-        skip = F.broadcast(skip)
-    s = skip.select(F.col("k").alias("sk"), F.col("digest").alias("sd"))
-    misses = keyed.join(s, (F.col("digest") == F.col("sd")) & F.col("k").eqNullSafe(F.col("sk")), "left_anti")
+    state = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).join(hits, "digest", "left")
+    state = tables.stage(state.select("digest", "n", F.coalesce("hit", F.lit(False)).alias("hit")).where("hit or n > 1"), "count-state")
+
+    # A digest that misses is encoded once: where it lies if one row has it, else as one row of those that have it.
+    known, repeated = (small(tables.stage(state.where(c).select("digest"), "count-part")) for c in ("true", "not hit"))
+    alone = keyed.join(known, "digest", "left_anti").select("digest", "t")
+    others = keyed.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.first("t").alias("t"))
 
     def encode(batches):
         count = counter(tokenizer)
@@ -59,12 +58,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
             numbers = [count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(numbers), pa.string()), pa.array(numbers, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
-    misses.select("digest", "t").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = _cached(spark, cache, version)
-    return slim.join(counts, "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    for misses in (alone, others):
+        misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    out = slim.join(_cached(spark, cache, version), "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return tables.result(out, "counts")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an empty cache, so that its time is that of encoding every distinct text."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
