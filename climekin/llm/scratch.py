@@ -42,12 +42,6 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def size_of(spark: SparkSession, path: str) -> int:
-    """Bytes under a path."""
-    fs, p = _fs(spark, path)
-    return fs.getContentSummary(p).getLength()
-
-
 def memory_of(df: DataFrame) -> int:
     """Bytes that the rows of a staged table take in memory, strings and binaries measured."""
     loose = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]

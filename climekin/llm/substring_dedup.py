@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climekin.llm.scratch import BROADCAST_BYTES, new_path, size_of, stage, stage_at
+from climekin.llm.scratch import Tables, small, stage
 from climekin.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -413,10 +413,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", conten
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans [, kept binary] of every row."""
     spark = docs.sparkSession
     spans = repeated_spans(docs, key, text)
-    path = new_path(spark, "repeat-join")
-    spans = stage_at(spans.select(F.col("row").alias("srow"), "spans"), path)
-    if size_of(spark, path) <= BROADCAST_BYTES // 2:
-        spans = F.broadcast(spans)
+    spans = small(spans.select(F.col("row").alias("srow"), "spans"))
     data = F.col(text).cast("binary")
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(data, F.lit("").cast("binary")).alias("t"), F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("long"), data)).alias("row"))
 
