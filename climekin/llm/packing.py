@@ -6,9 +6,10 @@ places, so the tightest bin that still takes a piece is its lowest set bit
 from the piece's length on.  If a piece fits nowhere and all bins are open,
 the fullest closes.  Pieces of full length are sequences of their own.
 
-Bins that are still open at the end of a task are few and partly empty, so a
-second round packs those bins, as items, in fewer tasks.  No task ever holds
-more than its own input split and the open bins.
+Bins that are still open at the end of a task are few and partly empty.  A
+second round takes their pieces apart again and packs those of many tasks
+together, longest first, in tasks of about ``ROUND_PIECES`` pieces.  No task
+ever holds more than its own pieces (numbers, not ids) and the open bins.
 
 Defined cases: null text counts as empty and holds the end id alone; only
 documents longer than the capacity are cut, the last piece may be shorter;
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climekin.llm.encoding import encoder
-from climekin.llm.scratch import new_path, stage_at
+from climekin.llm.scratch import Tables
 
 CAPACITY = 2048
 OPEN_BINS = 1024
-#: Bins that one task of the second round takes, about.
-ROUND_BINS = 100_000
+#: Pieces that one task of the second round takes, about.
+ROUND_PIECES = 400_000
+#: A bin whose free part is at most one in so many stays as it is.
+FULL = 200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, is_open boolean"
 
@@ -71,8 +74,9 @@ class BestFit:
             self.count += 1
         return where, self.capacity - free
 
-    def open(self) -> set[int]:
-        return {b for stack in self.by_free.values() for b in stack}
+    def open(self, least: int = 1) -> set[int]:
+        """Open bins with so many free places or more."""
+        return {b for free, stack in self.by_free.items() if free >= least for b in stack}
 
 
 def _first_round(tokenizer: str, end_id: int, capacity: int, open_bins: int):
@@ -89,11 +93,11 @@ def _first_round(tokenizer: str, end_id: int, capacity: int, open_bins: int):
                     cut = ids[at : at + 4 * capacity]
                     where, offset = bins.put(len(cut) // 4)
                     rows.append((k, piece, at // 4, len(cut) // 4, zlib.crc32(cut), where, offset))
-        still = bins.open()
+        still = bins.open(capacity // FULL + 1)
         for i in range(0, len(rows), 20_000):
             cols = [*zip(*rows[i : i + 20_000])]
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), *[pa.int64()] * 5])]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([w in still for w in cols[5]], pa.bool_())], [c.split()[0] for c in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([w in still for w in cols[5]], pa.bool_())], _names(PIECES))
 
     return pack
 
@@ -102,27 +106,27 @@ def _second_round(capacity: int, open_bins: int):
     def pack(batches):
         bins = BestFit(capacity, open_bins, (1 << 62) + (TaskContext.get().partitionId() << 36))
         for batch in batches:
-            olds, used = batch.column(0), batch.column(1).to_pylist()
-            put = [bins.put(n) for n in used]
-            yield pa.RecordBatch.from_arrays([olds, *(pa.array([p[i] for p in put], pa.int64()) for i in (0, 1))], ["old", "new", "base"])
+            put = [bins.put(n) for n in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([p[i] for p in put], pa.int64()) for i in (0, 1))], _names(PIECES)[:7])
 
     return pack
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    spark = docs.sparkSession
+    tables = Tables(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    first = stage_at(texts.mapInArrow(_first_round(tokenizer, end_id, capacity, open_bins), PIECES), new_path(spark, "pack-first"))
-    left = first.where("is_open").groupBy("sequence_id").agg(F.sum("length").alias("used"))
-    left = stage_at(left, new_path(spark, "pack-open"))
-    tasks = max(1, -(-left.count() // ROUND_BINS))
-    moved = left.repartition(tasks).mapInArrow(_second_round(capacity, open_bins), "old long, new long, base long")
-    moved = stage_at(moved, new_path(spark, "pack-moved"))
-    return first.join(moved, F.col("sequence_id") == F.col("old"), "left").select(
-        F.col("doc_id").alias(key), "piece", "start", "length", "ids_crc32",
-        F.coalesce("new", "sequence_id").alias("sequence_id"), (F.coalesce("base", F.lit(0)) + F.col("offset")).alias("offset"),
-    )
+    first = tables.stage(texts.mapInArrow(_first_round(tokenizer, end_id, capacity, open_bins), PIECES), "pack-first")
+    left = first.where("is_open").drop("is_open")
+    tasks = max(1, -(-left.count() // ROUND_PIECES))
+    # The shortest come last, which fill what the others leave.
+    dealt = left.repartition(tasks, "sequence_id").sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    again = dealt.mapInArrow(_second_round(capacity, open_bins), PIECES.removesuffix(", is_open boolean"))
+    return tables.result(first.where("not is_open").drop("is_open").unionByName(again), "packed").withColumnRenamed("doc_id", key)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,16 @@ def test_counts_of_a_sentencepiece_model(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(model.encode(t or "")) for k, t in EDGE[:4]}
 
 
+def test_counts_of_repeated_rows(spark):
+    """Rows that repeat key and text, or a null key, are encoded once; a later run encodes nothing again."""
+    cache = new_path(spark, "test-cache")
+    docs = frame(spark, [*[(1, "same text")] * 5, *[(None, "q")] * 3, (2, "alone")])
+    assert token_counts.count_tokens(docs, BYTES, cache).count() == 9
+    assert spark.read.parquet(cache).count() == 3
+    assert sorted(r["n_tokens"] for r in token_counts.count_tokens(docs, BYTES, cache).collect()) == [1, 1, 1, 1, 2, 2, 2, 2, 2]
+    assert spark.read.parquet(cache).count() == 3
+
+
 def test_counts_of_nothing(spark):
     assert token_counts.count_tokens(spark.createDataFrame([], DOCS), BYTES, new_path(spark, "test-cache")).count() == 0
 
@@ -138,6 +148,17 @@ def test_packing_is_tight(spark):
     assert len(used) <= 1.05 * -(-sum(x["length"] for x in got) // 128)
 
 
+@pytest.mark.parametrize("tasks", [4, 32])
+def test_packing_is_tight_for_any_number_of_tasks(spark, tasks):
+    """Lengths like those of the driver's documents: mostly a few hundred tokens, some far longer."""
+    r = np.random.default_rng(7)
+    lengths = np.minimum(r.lognormal(5.3, 1.1, 6000), 20_000).astype(int) + 1
+    docs = frame(spark, [(i, "word " * n) for i, n in enumerate(lengths.tolist())]).repartition(tasks)
+    got = packing.pack(docs, WORDS).select("sequence_id", "length").collect()
+    used = len({x["sequence_id"] for x in got})
+    assert used <= 1.01 * -(-sum(x["length"] for x in got) // 2048)
+
+
 @given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 5))
 @settings(max_examples=100, deadline=None)
 def test_best_fit(lengths, limit):
