@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_RAW = {t: re.compile(rf"</{t}\s*(?:>|/|\Z)[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas", "math", "xmp", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?![a-zA-Z0-9:-])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "xmp", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -76,7 +76,7 @@ N_FEATURES = 1 + len(_KINDS) + 1 + len(_BAD_NAMES) + 2 + 3 + 9
 class Node:
     __slots__ = ("bad", "bad_above", "chars", "good", "good_above", "kids", "label", "links", "parent", "rights", "runs", "tag", "total", "total_links")
 
-    def __init__(self, tag: str, parent: int, attributes: str):
+    def __init__(self, tag: str, parent: int, attributes: str, labelled: bool = False):
         self.tag, self.parent, self.kids, self.runs = tag, parent, 0, 0
         self.chars = self.links = self.total = self.total_links = 0
         self.bad, self.good, self.label, self.rights = 0, False, None, False
@@ -97,14 +97,16 @@ class Node:
                     self.bad |= 1 << _ROLES[value] if value in _ROLES else 0
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     self.bad |= 1 << 8
-                elif name == "data-label":
+                elif labelled and name == "data-label":
                     self.label = int(value)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Nodes, parents before children, and the text runs (node, text) in page order."""
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Nodes, parents before children, and the text runs (node, text) in page order; labelled: data-label attributes are labels."""
     nodes, runs = [Node("html", -1, "")], []
     stack, text, anchors, linked = [0], [], 0, 0
+    # Where in the stack each tag is open.
+    opened: dict[str, list[int]] = {}
     at, end = 0, len(page)
 
     def flush():
@@ -128,15 +130,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if anchors:
                 linked += len(piece)
 
+    def nearest(tags) -> int:
+        return max((o[-1] for t in tags if (o := opened.get(t))), default=0)
+
+    def shut(depth: int):
+        for i in stack[depth:]:
+            opened[nodes[i].tag].pop()
+        del stack[depth:]
+
     def close(tags, stops=()):
-        for i in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[i]].tag
-            if tag in tags:
-                flush()
-                del stack[i:]
-                return
-            if tag in stops:
-                return
+        """End the nearest open one of ``tags`` and all within it, unless one of ``stops`` lies nearer."""
+        depth = nearest(tags)
+        if depth and depth > nearest(stops):
+            flush()
+            shut(depth)
 
     while at < end:
         m = _TAG.search(page, at)
@@ -154,6 +161,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in _BLOCK:
+                if tag == "p":
+                    # A stray end of a paragraph is an empty paragraph.
+                    flush()
                 close((tag,) if tag[0] != "h" or len(tag) != 2 else ("h1", "h2", "h3", "h4", "h5", "h6"), ("table",) if tag in ("td", "th", "tr", "li", "p") else ())
             elif tag == "br":
                 text.append(" ")
@@ -176,7 +186,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag in _BLOCK:
             flush()
             if tag != "head" and nodes[stack[-1]].tag == "head":
-                stack.pop()
+                shut(len(stack) - 1)
             close(("p",), ("table", "button", "td", "th"))
             if tag in _CLOSES:
                 for t in _CLOSES[tag][0].split():
@@ -184,8 +194,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if not m[3].endswith("/"):
                 parent = stack[-1]
                 nodes[parent].kids += 1
+                opened.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes))
-                nodes.append(Node(tag, parent, m[3]))
+                nodes.append(Node(tag, parent, m[3], labelled))
             anchors = 0 if tag not in ("button", "li") else anchors
     flush()
     for n in nodes:
@@ -270,7 +281,7 @@ def train(pages: list[str], ridge: float = 0.3, rounds: int = 12) -> Model:
     """Weights from pages whose elements carry data-label="0" or "1"; others take their parent's label."""
     rows, labels = [], []
     for page in pages:
-        nodes, _ = parse(page)
+        nodes, _ = parse(page, labelled=True)
         y = np.zeros(len(nodes))
         for i, n in enumerate(nodes):
             y[i] = n.label if n.label is not None else (y[n.parent] if i else 1)

@@ -1,8 +1,11 @@
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from climekin.llm import html_extract, mixing, packing, quality, queries, topk_search
@@ -119,6 +122,129 @@ def test_page():
     assert text == "A title here\n\nFirst boldtext <tag> café € next line.\n\nSecond paragraph with more words, and a link too.\n\none item of some length\n\nanother item of it"
 
 
+def pages_text(body):
+    return html_extract.default_model().extract(f"<html><body><article>{body}</article></body></html>")
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "xmp", "noframes"])
+def test_text_after_raw_elements(tag):
+    """What follows a raw element stays, to the letter; what follows its end tag is no part of it."""
+    assert pages_text(f"<p>One two <{tag} id=x>x() < 3</{tag}>three words of text <b>bold</b> tail.</p>") == "One two three words of text bold tail."
+    assert pages_text(f"<p>Some text of the page.</p><{tag}>x</{tag} >Loose text here<p>And more.</p>") == "Some text of the page.\n\nLoose text here\n\nAnd more."
+    assert pages_text(f"<p>Some text of the page.</p><{tag}>x</{tag}><div class=\"ad\">Buy this now.</div>") == "Some text of the page."
+    assert pages_text(f"<p>Some text of the page, <{tag}>cut") == "Some text of the page,"
+
+
+def test_inline_elements_keep_their_text():
+    assert pages_text("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in units, and <object>a drawing</object> <canvas>of it</canvas>.</p>") == "Energy is E=m in units, and a drawing of it."
+
+
+def test_labels_of_cells_are_no_labels():
+    text = pages_text('<p>A table of prices for the year.</p><table><tr><td data-label="Price">12 pounds</td><td data-label="0">a year</td></tr></table>')
+    assert text == "A table of prices for the year.\n\n12 pounds\n\na year"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "<p>the text</p>", "<table><tr><td>" * 20_000 + "<p>the text", "<p>x<table><tr><td>" + "<div>" * 50_000 + "the text", "<ul><li>" * 30_000 + "the text"])
+def test_deep_pages_take_seconds(page):
+    import time
+
+    t = time.time()
+    nodes, runs = html_extract.parse(page)
+    assert runs[-1][1] == "the text" and time.time() - t < 20
+
+
+class Plain(HTMLParser):
+    """All text outside elements that hold none, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.deep, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.deep += tag in ("script", "style", "title")
+        self.out.append(" " if tag == "br" or tag in html_extract._BLOCK else "")
+
+    def handle_endtag(self, tag):
+        self.deep -= tag in ("script", "style", "title") and self.deep > 0
+        self.out.append(" " if tag in html_extract._BLOCK else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.deep else data)
+
+
+MARKUP = ["<p>", "</p>", "<div class='x y'>", "</div>", "<ul>", "<li>", "</li>", "</ul>", "<b>", "</b>", "<a href='/q?a=1&b=2'>", "</a>", "<br>", "<br/>", "<!-- no <p> -->", "<script>if (a < b) { '<p>' }</script>", "<style>p > b {}</style>", "<table><tr><td>", "</td></tr></table>", "<img src=x>", "<h2>", "</h2>", "one", "two words", " ", "\n\t", "&amp;", "&eacute;", "&#8364;", "x", "caf\u00e9"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(MARKUP), max_size=40))
+def test_parsing_loses_and_adds_no_text(parts):
+    page = "".join(parts)
+    plain = Plain()
+    plain.feed(page)
+    plain.close()
+    _, runs = html_extract.parse(page)
+    assert "".join("".join(r for _, r in runs).split()) == "".join("".join(plain.out).split())
+
+
+class Article(HTMLParser):
+    """Blocks of the article element, for pages of one known layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+@pytest.mark.skipif(not HAVE_DATA, reason="needs the driver's tables")
+def test_pages_by_another_extractor(spark):
+    path = DATA.replace("0.001", "0.01")
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op5_html_text"](spark, path).collect()}
+    assert got.keys() == pages.keys()
+    for k, page in pages.items():
+        plain = Article()
+        plain.feed(page or "")
+        plain.close()
+        assert got[k] == "\n\n".join(b for b in (" ".join(x.split()) for x in plain.blocks) if b), k
+
+
+#: Pages in mark-up that the training pages don't have: (html, text).
+STRANGE = [
+    ("""<body><div id="top"><a href="/">Gazette</a> <a href="/a">World</a> <a href="/b">Sport</a></div><main><h1>Rain at last</h1><div class="byline">By A. Writer</div>
+<p>It rained all day in the valley, and the farmers were glad of it.</p><figure><img src="a.jpg"><figcaption>A wet field near the river.</figcaption></figure>
+<p>More is expected on Sunday, the office said.</p></main><div class="footer-links"><a href="/c">Contact</a> | <a href="/p">Privacy</a></div></body>""",
+     ["It rained all day in the valley, and the farmers were glad of it.", "More is expected on Sunday, the office said.", "Rain at last"], ["Privacy", "Sport"]),
+    ("""<body><table><tr><td class="leftnav"><ul><li><a href="1">One</a><li><a href="2">Two</a><li><a href="3">Three</a></ul></td><td><h2>Old pages</h2>
+<p>This page was made with a table, as pages were in those days, and still is read.</p><p>It has a second paragraph that is long enough to be text.</p></td></tr></table></body>""",
+     ["This page was made with a table, as pages were in those days, and still is read.", "It has a second paragraph that is long enough to be text."], ["Three"]),
+    ("""<body><section class="hero"><h1>How to bake bread</h1></section><section class="recipe"><p>Mix the flour with water and salt, and knead it for ten minutes.</p><ol><li>Let it rise for an hour in a warm place.</li><li>Bake it until the crust is brown.</li></ol></section>
+<section class="reader-comments"><div class="comment"><p>Mine did not rise at all, what did I do wrong with it?</p></div></section><div class="cookie-bar" role="dialog"><p>We use cookies.</p></div></body>""",
+     ["Mix the flour with water and salt, and knead it for ten minutes.", "Let it rise for an hour in a warm place.", "How to bake bread"], ["cookies", "Mine did not rise"]),
+]
+
+
+@pytest.mark.parametrize(("page", "there", "gone"), STRANGE)
+def test_strange_pages(page, there, gone):
+    text = html_extract.default_model().extract(page)
+    assert all(x in text.split("\n\n") for x in there), text
+    assert not any(x in text for x in gone), text
+
+
 def test_marginals_equal_enumeration():
     model = html_extract.train(html_extract.labelled_pages(60))
     nodes, _ = html_extract.parse("<body><nav><a>x</a></nav><div><p>some text of it</p><p>more</p></div><footer>c</footer></body>")
@@ -136,7 +262,7 @@ def test_marginals_equal_enumeration():
 def test_held_out_pages():
     model, wrong, runs_seen = html_extract.default_model(), 0, 0
     for page in html_extract.labelled_pages(80, seed=99):
-        nodes, runs = html_extract.parse(page)
+        nodes, runs = html_extract.parse(page, labelled=True)
         y = []
         for i, n in enumerate(nodes):
             y.append(n.label if n.label is not None else (y[n.parent] if i else 1))
