@@ -7,8 +7,8 @@ number of rows.  With a lasting ``state`` folder a later run goes on from
 that state, so new documents are held against all earlier ones.
 
 A hit is a digest with more than one row.  The full bytes of the run's hits are
-then compared, also with those of the row that the state has retained, which
-is read through its locator.  A digest whose rows differ is noted in the state
+then compared, also with those of an earlier run's row, which is read through
+the locator that the state has retained.  A digest whose rows differ is noted in the state
 and resolved by full texts, those of earlier runs' rows among them.
 
 Earlier rows are known by file and place, so that a run that is repeated over
@@ -152,7 +152,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", state: str
     checked = rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").select("digest", "content")
     clashes, noted = f"{state}/clashes", None
     if history:
-        old = tables.stage(found.where("n > 1").select("digest", "last.file", "last.row").join(slim.select("file", "row"), ["file", "row"], "left_anti"), "dedup-kept")
+        # One earlier row of each hit will do: those of a digest that isn't noted are equal.
+        earlier = spark.read.schema(slim.schema).parquet(f"{state}/keys/*").join(hits, F.col("digest") == F.col("hit"), "left_semi")
+        earlier = earlier.join(slim.select("file", "row"), ["file", "row"], "left_anti").groupBy("digest").agg(F.max(F.struct("file", "row")).alias("m"))
+        old = tables.stage(earlier.select("digest", "m.file", "m.row"), "dedup-kept")
         if not old.isEmpty():
             checked = checked.unionByName(_texts_at(old, text).select("digest", "content"))
         if exists(spark, clashes):
