@@ -13,15 +13,23 @@ anchor form a segment of at most 84 bytes.
     its anchors, once for each document, to the anchor's shard.  Anchors of
     one document only can't matter; prints of the others go back to the
     documents' blocks.  (A clash of prints only lets more pass.)
-2.  Segments of shared anchors go to the anchor's shard.  Equal segments of
-    a block are settled there: all but those of the smallest document are
-    repeats.  So a hot passage sends one segment for each block.
-3.  A shard takes its distinct segments, each with its smallest document,
-    builds the suffix array by induced sorting and the permuted common
-    prefixes, and finds the runs of suffixes that share LENGTH bytes; a
-    window whose run holds a smaller document is a repeat.
+2.  Segments of shared anchors go to the anchor's shard, a row for each block
+    and group of the shard.  Equal segments of a block are one entry, that of
+    their smallest document: the others are repeats of it, whatever else the
+    array holds, so that a hot passage sends one segment for each block and
+    not its places.
+3.  A shard takes the distinct segments of a group, each with its smallest
+    document, builds the suffix array by induced sorting and the permuted
+    common prefixes, and finds the runs of suffixes that share LENGTH bytes.
+    The smallest document of a run decides for each window in it: it is a
+    repeat in every larger document.
 4.  Repeated windows are merged to spans for each document and cut.
 
+Scale: the number of shards follows the bytes of the texts, up to the shuffle
+partitions of the session; a shard is worked in groups of about
+``GROUP_BYTES`` of text, so that memory stays bounded where partitions are large.
+A document is named by its id and a hash of id and text together.
+
 Defined cases: null text is empty; texts shorter than LENGTH keep all;
 documents with a null id neither lose bytes nor count as originals; rows
 that repeat an id don't affect each other; an empty table gives no rows;
@@ -37,19 +45,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climekin.llm.scratch import Tables, small, stage
+from climekin.llm.scratch import Tables, small
 from climekin.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 16
 #: Bytes that are worked on together.
 BATCH_BYTES = 4 << 20
-#: Fine shards of segments for each shuffle partition.
-FINE = 16
-#: Bytes of distinct segments that one block holds before it sends them on.
-HELD_BYTES = 24 << 20
+#: Bytes of texts for each shard, at least, and for each group of a shard, about.
+SHARD_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
+#: Segments that one block holds before it sends them on.
+HELD_SEGMENTS = 400_000
 #: Repeated spans that a task holds before it sends them on.
 HELD_SPANS = 1_000_000
+#: 64-bit words that a segment takes, the last one padded; it has 2 * LENGTH - GRAM bytes at most.
+WORDS = 11
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 _U = np.uint64
@@ -188,31 +199,86 @@ def _shared(batches):
         yield pa.RecordBatch.from_pydict(out, schema=_HITS)
 
 
-#: kind 0: settled repeats; kind 1: segments. Arrays of one row run in parallel.
-_SEGMENTS = pa.schema([("fine", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
-
-
-def _segments(shards: int):
+def _words_of(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(segments, WORDS) matrix of the segments' bytes, zeros behind them."""
+    view = np.ndarray((len(data) + 8,), np.dtype("<u8"), data + bytes(8 * WORDS + 8), strides=(1,))
+    out = view[np.minimum(starts[:, None] + 8 * np.arange(WORDS), len(data))]
+    left = np.clip(lengths[:, None] - 8 * np.arange(WORDS), 0, 8).astype(_U)
+    return np.where(left == 8, out, out & ((_U(1) << (left * _U(8))) - _U(1)))
+
+
+def _bytes_of(words: np.ndarray, lengths: np.ndarray, end: bytes = b"") -> np.ndarray:
+    """The segments' bytes one after the other, each followed by ``end``."""
+    table = np.zeros((len(words), 8 * WORDS + 1), np.uint8)
+    table[:, : 8 * WORDS] = words.view(np.uint8).reshape(len(words), 8 * WORDS)
+    if end:
+        table[np.arange(len(words)), lengths] = end[0]
+    return table[np.arange(8 * WORDS + 1) < (lengths + len(end))[:, None]]
+
+
+def _equal(words: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): an order with equal segments together, and where new ones begin in it."""
+    h = lengths.astype(_U)
+    for i in range(WORDS):
+        h = _mix((h ^ words[:, i]) * _U(0x9E3779B97F4A7C15))
+    order = np.lexsort((h, group))
+    w = words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (w[1:] != w[:-1]).any(axis=1) | (lengths[order][1:] != lengths[order][:-1])
+    return order, np.flatnonzero(new)
+
+
+def _merged(docs, rows, starts, ends) -> tuple[np.ndarray, ...]:
+    """Spans in order, those of a document that meet made one."""
+    order = np.lexsort((starts, rows, docs))
+    docs, rows, starts, ends = docs[order], rows[order], starts[order], ends[order]
+    if not len(docs):
+        return docs, rows, starts, ends
+    head = np.ones(len(docs), bool)
+    head[1:] = (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])
+    # The furthest end so far in a document: ends grow by its number, which keeps documents apart.
+    number = np.cumsum(head) - 1
+    far = int(ends.max()) + 1
+    reach = np.maximum.accumulate(ends + number * far) - number * far
+    head[1:] |= starts[1:] > reach[:-1]
+    first = np.flatnonzero(head)
+    return docs[first], rows[first], starts[first], np.maximum.reduceat(ends, first)
+
+
+#: kind 0: settled repeats (places with their own documents and ends); kind 1: segments with their places.
+_SEGMENTS = pa.schema([(n, pa.int32()) for n in ("shard", "group", "kind", "block")] + [(n, pa.binary()) for n in ("docs", "lengths", "data", "of", "rows", "starts")])
+_I8, _I4, _U1 = "<i8", "<i4", "<u1"
+
+
+def _segments(shards: int, groups: int):
     """Rows of a block, its hits (kind 0) before its documents (kind 1, by id) -> segments of shared anchors."""
-    fine = shards * FINE
 
-    def send(held: dict, settled: list, block: int):
+    def send(held: list, block: int):
+        """One row for each group with segments of this block, and one of settled repeats."""
+        doc, row, start, length, group, words = (np.concatenate(x) for x in zip(*held))
+        order, first = _equal(words, length, group)
+        size = np.diff(np.append(first, len(order)))
+        least = np.minimum.reduceat(doc[order], first)
+        entry = np.repeat(np.arange(len(first)), size)
+        own = doc[order] == least[entry]
         out = {n: [] for n in _SEGMENTS.names}
-        for g in sorted(held):
-            docs, rows, starts, lengths, data = [], [], [], [], []
-            for segment, (doc, places) in held[g].items():
-                for row, start in places:
-                    docs.append(doc)
-                    rows.append(row)
-                    starts.append(start)
-                    lengths.append(len(segment))
-                    data.append(segment)
-            for n, x in zip(_SEGMENTS.names, (g, 1, np.array(docs, "<i8").tobytes(), np.array(rows, "<i8").tobytes(), np.array(starts, "<i8").tobytes(), np.array(lengths, "<u1").tobytes(), b"".join(data))):
-                out[n].append(x)
-        if settled:
-            s = np.array(settled, "<i8").T
-            for n, x in zip(_SEGMENTS.names, (block % fine, 0, b"", np.ascontiguousarray(s[0]).tobytes(), np.ascontiguousarray(s[1]).tobytes(), s[2].astype("<u1").tobytes(), b"")):
+
+        def add(*values):
+            for n, x in zip(_SEGMENTS.names, values):
                 out[n].append(x)
+
+        late = order[~own]
+        if len(late):
+            d, r, s, e = _merged(doc[late], row[late], start[late], start[late] + length[late])
+            add(block % shards, -1, 0, block, d.astype(_I8).tobytes(), (e - s).astype(_I8).tobytes(), b"", b"", r.astype(_I8).tobytes(), s.astype(_I8).tobytes())
+        one, kept, of = order[first], order[own], entry[own]
+        number = group[one]
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(one)]
+        places = np.searchsorted(of, cuts)
+        for a, b, p, q in zip(cuts, cuts[1:], places, places[1:]):
+            data = _bytes_of(words[one[a:b]], length[one[a:b]]).tobytes()
+            g = int(number[a])
+            add(g // groups, g % groups, 1, block, least[a:b].astype(_I8).tobytes(), length[one[a:b]].astype(_U1).tobytes(), data, (of[p:q] - a).astype(_I4).tobytes(), row[kept[p:q]].astype(_I8).tobytes(), start[kept[p:q]].astype(_I8).tobytes())
         return pa.RecordBatch.from_pydict(out, schema=_SEGMENTS)
 
     def by_block(batches):
@@ -223,41 +289,28 @@ def _segments(shards: int):
                 if b > a:
                     yield int(blocks[a]), batch.slice(a, b - a)
 
+    def work(texts, hits):
+        known = np.sort(np.concatenate(hits)) if hits else np.empty(0, _U)
+        for rows, data, starts, ends, bases in _gather(texts, (2, 3, 4)) if len(known) else ():
+            first, stop, text, f = anchors(data, starts, ends)
+            key = ((f % _U(shards)) << _U(32)) | (f >> _U(32))
+            hot = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+            if not len(hot):
+                continue
+            first, length, text, f = first[hot], stop[hot] - first[hot], text[hot], f[hot]
+            names = np.array(rows, np.int64)[text]
+            group = (f % _U(shards)).astype(np.int64) * groups + (f // _U(shards) % _U(groups)).astype(np.int64)
+            yield names[:, 0], names[:, 1], first - starts[text] + np.array(bases)[text], length, group, _words_of(data, first, length)
+
     def cut(batches):
         with np.errstate(over="ignore"):
-            block, hits, held, settled, size, texts = None, [], {}, [], 0, []
-
-            def work(texts, hits):
-                nonlocal held, settled, size
-                known = np.sort(np.concatenate(hits)) if hits else np.empty(0, _U)
-                for rows, data, starts, ends, bases in _gather(texts, (2, 3, 4)):
-                    first, stop, text, f = anchors(data, starts, ends)
-                    key = ((f % _U(shards)) << _U(32)) | (f >> _U(32))
-                    if not len(known):
-                        continue
-                    hot = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                    groups = (f[hot] % _U(shards)) * _U(FINE) + (f[hot] // _U(shards)) % _U(FINE)
-                    for a, b, t, g in zip(first[hot].tolist(), stop[hot].tolist(), text[hot].tolist(), groups.tolist()):
-                        segment, (doc, row) = data[a:b], rows[t]
-                        start = a - int(starts[t]) + bases[t]
-                        of = held.setdefault(g, {})
-                        known_one = of.get(segment)
-                        if known_one is None:
-                            of[segment] = (doc, [(row, start)])
-                            size += b - a + 120
-                        elif known_one[0] == doc:
-                            known_one[1].append((row, start))
-                        else:
-                            settled.append((row, start, b - a))
-                            size += 24
-
+            block, hits, held, texts = None, [], [], []
             for b, part in by_block(batches):
                 if b != block:
-                    if texts:
-                        work(texts, hits)
-                    if held or settled:
-                        yield send(held, settled, block)
-                    block, hits, held, settled, size, texts = b, [], {}, [], 0, []
+                    held += work(texts, hits)
+                    if held:
+                        yield send(held, block)
+                    block, hits, held, texts = b, [], [], []
                 kinds = np.asarray(part.column(1))
                 n_hits = int((kinds == 0).sum())
                 for shard, prints in zip(part.column(3).slice(0, n_hits).to_pylist(), part.column(4).slice(0, n_hits).to_pylist()):
@@ -265,157 +318,151 @@ def _segments(shards: int):
                 if n_hits < len(kinds):
                     texts.append(part.slice(n_hits))
                     if sum(x.nbytes for x in texts) >= 2 * BATCH_BYTES:
-                        work(texts, hits)
+                        held += work(texts, hits)
                         texts = []
-                        if size >= HELD_BYTES:
-                            yield send(held, settled, block)
-                            held, settled, size = {}, [], 0
-            if texts:
-                work(texts, hits)
-            if held or settled:
-                yield send(held, settled, block)
+                        if sum(len(x[0]) for x in held) >= HELD_SEGMENTS:
+                            yield send(held, block)
+                            held = []
+            held += work(texts, hits)
+            if held:
+                yield send(held, block)
 
     return cut
 
 
-def repeated_windows(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For distinct segments with a document each: positions in their join (one separator after each) where a window starts that a smaller document has."""
-    text = np.frombuffer(bytes([SEPARATOR]).join(segments) + bytes([SEPARATOR]), np.uint8)
-    lengths = np.array([len(s) for s in segments], np.int64)
-    starts = np.cumsum(lengths + 1) - lengths - 1
+def first_documents(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For segments in ``text``, each with a document and a separator behind it: at every window's start the smallest document of the segments that hold that window."""
     sa = suffix_array(text)
     prefix = common_prefixes(text, sa, starts, 136)[sa]
-    owner = np.repeat(np.arange(len(segments)), lengths + 1)
-    within = np.arange(len(text)) - starts[owner]
-    valid = (within + length <= lengths[owner])[sa]
-    group = np.cumsum(~(prefix >= length))  # runs of the array that share ``length`` bytes
-    pos, group = sa[valid], group[valid]
-    if not len(pos):
-        return pos
-    doc = docs[owner[pos]]
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.concatenate((first, [len(group)]))))
-    return pos[doc > least]
-
-
-_SPANS = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
-
-
-def _judge(shards: int):
-    """Segments of a fine shard -> repeated spans by block of their documents."""
-
-    def send(rows, starts, ends):
-        block = (rows.view(_U) % _U(shards)).astype(np.int64)
-        order = np.lexsort((starts, rows, block))
-        block, rows, starts, ends = block[order], rows[order], starts[order], ends[order]
-        cuts = [*np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(block)]
-        out = {"block": [int(block[a]) for a in cuts[:-1]]}
-        for n, x in (("rows", rows), ("starts", starts), ("ends", ends)):
-            out[n] = [x[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.RecordBatch.from_pydict(out, schema=_SPANS)
-
-    def judge(batches):
-        with np.errstate(over="ignore"):
-            rows, starts, ends = [], [], []
-            for _, parts in _runs_of(batches, 7):
-                best: dict[bytes, int] = {}
-                places = []
-                for _, kind, d, r, s, n, data in parts:
-                    r, s, n = np.frombuffer(r, "<i8"), np.frombuffer(s, "<i8"), np.frombuffer(n, "<u1").astype(np.int64)
-                    if kind == 0:
-                        rows.append(r)
-                        starts.append(s)
-                        ends.append(s + n)
-                        continue
-                    at = 0
-                    for doc, row, start, k in zip(np.frombuffer(d, "<i8").tolist(), r.tolist(), s.tolist(), n.tolist()):
-                        segment = data[at : at + k]
-                        at += k
-                        places.append((segment, doc, row, start))
-                        known = best.get(segment)
-                        if known is None or doc < known:
-                            best[segment] = doc
-                if best:
-                    names = list(best)
-                    number = {s: i for i, s in enumerate(names)}
-                    lengths = np.array([len(s) for s in names], np.int64)
-                    at = np.cumsum(lengths + 1) - lengths - 1
-                    repeated = np.sort(repeated_windows(names, np.array([best[s] for s in names], np.int64)))
-                    owner = np.searchsorted(at, repeated, side="right") - 1
-                    window = repeated - at[owner]
-                    # Windows of a segment overlap, as it is shorter than two of them: one span each suffices for neighbours.
-                    join = np.ones(len(window), bool)
-                    join[1:] = (owner[1:] != owner[:-1]) | (window[1:] > window[:-1] + LENGTH)
-                    head = np.flatnonzero(join)
-                    tail = np.concatenate((head[1:], [len(window)]))[: len(head)] - 1
-                    spans: dict[int, list[tuple[int, int]]] = {}
-                    for o, a, b in zip(owner[head].tolist(), window[head].tolist(), (window[tail] + LENGTH).tolist()):
-                        spans.setdefault(o, []).append((a, b))
-                    got = []
-                    for segment, doc, row, start in places:
-                        if doc > best[segment]:
-                            got.append((row, start, start + len(segment)))
-                        else:
-                            got += [(row, start + a, start + b) for a, b in spans.get(number[segment], ())]
-                    if got:
-                        g = np.array(got, np.int64).T
-                        rows.append(g[0])
-                        starts.append(g[1])
-                        ends.append(g[2])
-                # Spans of many fine shards leave together: one row for each block.
-                if sum(map(len, rows)) >= HELD_SPANS:
-                    yield send(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends))
-                    rows, starts, ends = [], [], []
-            if rows:
-                yield send(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends))
-
-    return judge
+    owner = np.repeat(np.arange(len(starts)), lengths + 1)
+    valid = (np.arange(len(text)) + length <= (starts + lengths)[owner])[sa]
+    run = np.cumsum(prefix < length)[valid]  # stretches of the array that share ``length`` bytes
+    pos = sa[valid]
+    out = np.full(len(text), np.iinfo(np.int64).max)
+    if len(pos):
+        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        out[pos] = np.repeat(np.minimum.reduceat(docs[owner[pos]], first), np.diff(np.append(first, len(run))))
+    return out
+
+
+def _repeats(parts: list[tuple]) -> list[np.ndarray]:
+    """Segments of one group from all blocks -> (block, doc, row, start, end) of repeated spans."""
+    docs, lengths = (np.concatenate([np.frombuffer(p[i], t) for p in parts]).astype(np.int64) for i, t in ((4, _I8), (5, _U1)))
+    counts = [len(p[5]) for p in parts]
+    of = np.concatenate([np.frombuffer(p[7], _I4) + n for p, n in zip(parts, np.cumsum([0, *counts]))])
+    rows, starts = (np.concatenate([np.frombuffer(p[i], _I8) for p in parts]) for i in (8, 9))
+    block = np.repeat([p[3] for p in parts], counts)[of]
+    words = _words_of(b"".join(p[6] for p in parts), np.cumsum(lengths) - lengths, lengths)
+    order, first = _equal(words, lengths, np.zeros(len(docs), np.int8))
+    one = order[first]
+    entry = np.empty(len(docs), np.int64)
+    entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    own = lengths[one]
+    at = np.cumsum(own + 1) - own - 1
+    least = first_documents(_bytes_of(words[one], own, bytes([SEPARATOR])), at, own, np.minimum.reduceat(docs[order], first))
+    del words
+    # The windows of a segment overlap, as it is shorter than two of them: from the first repeated one to the last all goes.
+    out = []
+    for a in range(0, len(of), 200_000):
+        e = of[a : a + 200_000]
+        windows = lengths[e] - LENGTH + 1
+        head = np.cumsum(windows) - windows
+        inner = np.arange(windows.sum()) - np.repeat(head, windows)
+        hit = least[np.repeat(at[entry[e]], windows) + inner] < np.repeat(docs[e], windows)
+        low = np.minimum.reduceat(np.where(hit, inner, 255), head)
+        high = np.maximum.reduceat(np.where(hit, inner, -1), head)
+        some = np.flatnonzero(high >= 0)
+        s = starts[a : a + 200_000][some]
+        out.append(np.stack((block[a : a + 200_000][some], docs[e][some], rows[a : a + 200_000][some], s + low[some], s + high[some] + LENGTH)))
+    return out
+
+
+_SPANS = pa.schema([("block", pa.int32()), *((n, pa.binary()) for n in ("docs", "rows", "starts", "ends"))])
+
+
+def _send_spans(held: list[np.ndarray]):
+    block, *spans = np.concatenate(held, axis=1)
+    out = {n: [] for n in _SPANS.names}
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            out["block"].append(int(block[a]))
+            for n, x in zip(_SPANS.names[1:], _merged(*(s[order[a:b]] for s in spans))):
+                out[n].append(x.astype(_I8).tobytes())
+    return pa.RecordBatch.from_pydict(out, schema=_SPANS)
+
+
+def _judge(batches):
+    """Segments of a shard, by group -> repeated spans by block of their documents."""
+    with np.errstate(over="ignore"):
+        held, parts, group = [], [], None
+
+        def rows():
+            for batch in batches:
+                yield from zip(*[batch.column(c).to_pylist() for c in range(len(_SEGMENTS.names))])
+
+        for r in rows():
+            if parts and r[:2] != group:
+                held += _repeats(parts)
+                parts = []
+                # Spans of many groups leave together: one row for each block.
+                if sum(x.shape[1] for x in held) >= HELD_SPANS:
+                    yield _send_spans(held)
+                    held = []
+            group = r[:2]
+            if r[2] == 0:
+                d, n, w, s = (np.frombuffer(r[i], _I8) for i in (4, 5, 8, 9))
+                held.append(np.stack((np.full(len(d), r[3]), d, w, s, s + n)))
+            else:
+                parts.append(r)
+        if parts:
+            held += _repeats(parts)
+        if held:
+            yield _send_spans(held)
 
 
 def _merge(batches):
-    """Spans of a block -> (row, merged spans) for each document."""
-    for _, parts in _runs_of(batches, 4):
-        rows, starts, ends = (np.concatenate([np.frombuffer(p[i], "<i8") for p in parts]) for i in (1, 2, 3))
-        order = np.lexsort((starts, rows))
-        rows, starts, ends = rows[order], starts[order], ends[order]
-        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        stops = np.concatenate((first[1:], [len(rows)]))
-        out = {"row": [], "spans": []}
-        for a, b in zip(first.tolist(), stops.tolist()):
-            s, e = starts[a:b], np.maximum.accumulate(ends[a:b])
-            new = np.concatenate(([True], s[1:] > e[:-1]))
-            heads = np.flatnonzero(new)
-            out["row"].append(int(rows[a]))
-            out["spans"].append(np.stack((s[heads], e[np.concatenate((heads[1:], [b - a])) - 1]), axis=1).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("spans", pa.binary())]))
+    """Spans of a block -> (doc, row, merged spans) for each document."""
+    for _, parts in _runs_of(batches, 5):
+        docs, rows, starts, ends = _merged(*(np.concatenate([np.frombuffer(p[i], _I8) for p in parts]) for i in (1, 2, 3, 4)))
+        both = np.stack((starts, ends), axis=1).astype(_I8)
+        cuts = [0, *(np.flatnonzero((rows[1:] != rows[:-1]) | (docs[1:] != docs[:-1])) + 1).tolist(), len(rows)]
+        cuts = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+        first = [a for a, _ in cuts]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[first]), pa.array(rows[first]), pa.array([both[a:b].tobytes() for a, b in cuts], pa.binary())], ["sk", "srow", "spans"])
+
+
+def _named(key: str, text: str) -> list:
+    """A document's name: its id, and a hash of id and text."""
+    k = F.col(key).cast("long")
+    return [k.alias("k"), F.xxhash64(k, F.col(text).cast("binary")).alias("row")]
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, spans): by xxhash64 of key and text, the sorted disjoint byte spans to cut, as pairs of 64-bit integers."""
+    """(sk, srow, spans): for a document's name the sorted disjoint byte spans to cut, as pairs of 64-bit integers."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    content = F.col(text).cast("binary")
-    rows = docs.select(F.col(key).cast("long").alias("k"), content.alias("t"), F.xxhash64(F.col(key).cast("long"), content).alias("row")).where(f"k is not null and octet_length(t) >= {LENGTH}")
-    # The row's unsigned hash modulo the number of shards, as the workers take it.
-    block = F.pmod(F.pmod(F.shiftrightunsigned("row", 1), F.lit(shards)) * 2 + F.col("row").bitwiseAND(F.lit(1)), F.lit(shards)).cast("int")
-    rows = rows.withColumn("block", block)
+    tables = Tables(spark)
+    rows = docs.select(*_named(key, text), F.col(text).cast("binary").alias("t")).where(f"k is not null and octet_length(t) >= {LENGTH}")
+    total = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES)))
+    groups = max(1, -(-total // (shards * GROUP_BYTES)))
+    rows = rows.select(F.pmod("row", F.lit(shards)).cast("int").alias("block"), F.lit(1).alias("kind"), "k", "row", "t")
     counts = rows.select("block", "row", "t").mapInArrow(_count(shards), "shard int, prints binary, blocks binary")
-    hits = counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shared, "block int, shard int, prints binary")
-    hits = stage(hits, "repeat-hits").select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"), F.col("shard").cast("long").alias("row"), F.col("prints").alias("t"))
-    both = hits.unionByName(rows.select("block", F.lit(1).alias("kind"), "k", "row", "t"))
-    dealt = both.repartition(shards, "block").sortWithinPartitions("block", "kind", "k")
-    segments = dealt.select("block", "kind", "k", "row", "t").mapInArrow(_segments(shards), "fine int, kind int, docs binary, rows binary, starts binary, lengths binary, data binary")
-    judged = segments.repartition(shards, "fine").sortWithinPartitions("fine").mapInArrow(_judge(shards), "block int, rows binary, starts binary, ends binary")
-    return stage(judged.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(_merge, "row long, spans binary"), "repeat-spans")
+    hits = tables.stage(counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shared, "block int, shard int, prints binary"), "repeat-hits")
+    hits = hits.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"), F.col("shard").cast("long").alias("row"), F.col("prints").alias("t"))
+    dealt = hits.unionByName(rows).repartition(shards, "block").sortWithinPartitions("block", "kind", "k")
+    segments = dealt.mapInArrow(_segments(shards, groups), "shard int, group int, kind int, block int, docs binary, lengths binary, data binary, of binary, rows binary, starts binary")
+    judged = segments.repartition(shards, "shard").sortWithinPartitions("shard", "group").mapInArrow(_judge, "block int, docs binary, rows binary, starts binary, ends binary")
+    merged = judged.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(_merge, "sk long, srow long, spans binary")
+    return tables.result(merged, "repeat-spans")
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", content: bool = True) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans [, kept binary] of every row."""
-    spark = docs.sparkSession
-    spans = repeated_spans(docs, key, text)
-    spans = small(spans.select(F.col("row").alias("srow"), "spans"))
-    data = F.col(text).cast("binary")
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(data, F.lit("").cast("binary")).alias("t"), F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("long"), data)).alias("row"))
+    spans = small(repeated_spans(docs, key, text))
+    rows = docs.select(*_named(key, text), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("t"))
 
     def cut(batches):
         for batch in batches:
@@ -440,7 +487,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", conten
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in zip(out.values(), kinds)), pa.array(kept_all, pa.binary())], [*out, "kept"])
 
-    joined = rows.join(spans, F.col("row") == F.col("srow"), "left").select("k", "t", "spans")
+    joined = rows.join(spans, (F.col("k") == F.col("sk")) & (F.col("row") == F.col("srow")), "left").select("k", "t", "spans")
     done = joined.mapInArrow(cut, "k long, n long, r long, c long, h string, s array<array<long>>, kept binary")
     done = done.toDF(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
     return done if content else done.drop("kept")

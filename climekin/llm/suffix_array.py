@@ -7,10 +7,12 @@ of S suffixes.  Done on the unsorted LMS positions this sorts the LMS
 substrings; they are named, the string of names is sorted, and a second
 pair of sweeps induces the whole array.
 
-All steps are array operations: a sweep goes bucket by bucket, and within a
-bucket the entries that induce entries of that same bucket go in waves, which
-is the order of the sequential sweep.  The string of names has too many
-buckets for that and is ranked by doubling, where names repeat.
+All steps are array operations.  Over few characters a sweep goes bucket by
+bucket, and within a bucket the entries that induce entries of that same
+bucket go in waves, which is the order of the sequential sweep.  The string of
+names, which is sorted by the same recursion, has many small buckets: there a
+sweep takes runs of neighbouring buckets together, and orders what they
+induce among themselves by as many rounds as such chains are long.
 """
 
 from __future__ import annotations
@@ -96,54 +98,105 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray)
     return sa
 
 
-def _rank(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names whose last one is the unique smallest."""
-    n = len(names)
-    rank, step = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-        rank = fresh
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
+def _induce_wide(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for a string with many characters."""
+    n = len(s)
+    ends = np.cumsum(sizes)
+    heads = ends - sizes
+    blocks = min(256, 1 + n // 2048)
+    block = (np.maximum(ends, 1) - 1) * blocks // n
+    place = np.full(n, -1, np.int64)
+
+    def put(items: np.ndarray, from_end: bool) -> None:
+        """Places of items by their character and the place of what follows them."""
+        items = items[np.argsort(s[items].astype(np.int64) * n + place[items + 1])]
+        chars = s[items]
+        first = np.flatnonzero(np.concatenate(([True], chars[1:] != chars[:-1])))
+        counts = np.diff(np.concatenate((first, [len(items)])))
+        base = ends[chars[first]] - counts if from_end else heads[chars[first]]
+        place[items] = np.repeat(base - first, counts) + np.arange(len(items))
+
+    def sweep(seeds: np.ndarray, smaller: bool) -> None:
+        pending: list[list[np.ndarray]] = [[] for _ in range(blocks)]
+
+        def wait(items: np.ndarray) -> None:
+            of = block[s[items]]
+            order = np.argsort(of, kind="stable")
+            items, of = items[order], of[order]
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(items)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    pending[of[i]].append(items[i:j])
+
+        wait(seeds)
+        for b in range(blocks - 1, -1, -1) if smaller else range(blocks):
+            if not pending[b]:
+                continue
+            have, later = np.concatenate(pending[b]), []
+            put(have, smaller)
+            wave = have
+            while len(wave):
+                before = wave[wave > 0] - 1
+                before = before[is_s[before] == smaller]
+                inner = block[s[before]] == b
+                later.append(before[~inner])
+                wave = before[inner]
+                if len(wave):
+                    # What lies in the block already may move, but keeps its order.
+                    have = np.concatenate((have, wave))
+                    put(have, smaller)
+            wait(np.concatenate(later))
+            pending[b] = []
+
+    counts = np.bincount(s[lms], minlength=len(sizes))
+    place[lms] = np.repeat(ends - counts - (np.cumsum(counts) - counts), counts) + np.arange(len(lms))
+    place[n - 1] = 0
+    inner = lms[lms > 0]
+    sweep(inner - 1, False)
+    larger = np.flatnonzero(~is_s)
+    larger = larger[larger > 0]
+    sweep(larger[is_s[larger - 1]] - 1, True)
+    sa = np.empty(n, np.int64)
+    sa[place] = np.arange(n)
+    return sa
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of small non-negative integers, the empty suffix not included."""
-    n = len(text)
-    if n == 0:
+    if len(text) == 0:
         return np.empty(0, np.int32)
-    s = np.concatenate((text.astype(np.int32) + 1, [0])).astype(np.int16)
+    return _suffixes(np.concatenate((text.astype(np.int32) + 1, [0])).astype(np.int16))[1:]
+
+
+def _suffixes(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a string whose last element is its only smallest one, 0."""
+    n = len(s)
     is_s = _types(s)
     sizes = np.bincount(s)
-    is_lms = np.zeros(n + 1, bool)
+    induce = _induce if len(sizes) <= 300 else _induce_wide
+    is_lms = np.zeros(n, bool)
     is_lms[1:] = is_s[1:] & ~is_s[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
     if len(lms) > 1:
         # Order of the LMS substrings, from unsorted LMS positions.
-        sa = _induce(s, is_s, lms[np.argsort(s[lms], kind="stable")], sizes)
+        sa = induce(s, is_s, lms[np.argsort(s[lms], kind="stable")], sizes)
         sub = sa[is_lms[sa]]
         names = _names(s, is_lms, lms, sub)
-        place = np.searchsorted(lms, sub)
+        number = np.empty(n, np.int32)
+        number[lms] = np.arange(len(lms))
         string = np.empty(len(lms), np.int64)
-        string[place] = names
-        ordered = lms[_rank(string)] if names[-1] != len(lms) - 1 else sub
+        string[number[sub]] = names
+        ordered = lms[_suffixes(string)] if names[-1] != len(lms) - 1 else sub
     else:
         ordered = lms
-    return _induce(s, is_s, ordered, sizes)[1:]
+    return induce(s, is_s, ordered, sizes)
 
 
 def _names(s: np.ndarray, is_lms: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Names of LMS substrings in their order; equal ones get the same name."""
-    stop = np.concatenate((lms[1:], lms[-1:]))
-    length = (stop - lms + 1)[np.searchsorted(lms, ordered)]
+    length = np.empty(len(s), np.int32)
+    length[lms] = np.concatenate((lms[1:], lms[-1:])) - lms + 1
+    length = length[ordered]
     same = np.zeros(len(ordered), bool)
     same[1:] = length[1:] == length[:-1]
     at = np.flatnonzero(same)
@@ -167,7 +220,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, cap: i
     at most ``cap`` less the distance to the last start is exact.
     """
     n = len(text)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[0]] = -1
     phi[sa[1:]] = sa[:-1]
     at = np.arange(n)
