@@ -43,8 +43,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def memory_of(df: DataFrame) -> int:
-    """Bytes that the rows of a staged table take in memory, strings and binaries measured."""
+    """Bytes that the rows of a staged table take in memory; strings, binaries and arrays of numbers are measured."""
     loose = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    loose += [F.sum(8 * F.greatest(F.size(c), F.lit(0))) for c, kind in df.dtypes if kind.startswith("array<")]
     n, *lengths = df.agg(F.count(F.lit(1)), *loose).first()
     return n * (24 + 8 * len(df.columns)) + sum(x or 0 for x in lengths)
 

@@ -11,11 +11,13 @@ itself is compared.
 
 Defined cases: a null text counts as empty and holds the end id alone; null
 keys come first, are stored and scanned, but can't be looked up; rows that
-repeat a key lie next to each other, ordered by text, and a lookup returns
-all of them; an empty table gives an empty store; other columns are ignored.
+repeat a key lie next to each other, ordered by a hash of the text, and a
+lookup returns all of them; an empty table gives an empty store; other columns are ignored.
 
 Scale: one range shuffle of (key, text); all later passes read the store.
-Starts come from a prefix sum over one row for each partition.
+Rows of one key, null included, are ranged by their text and place as well, so
+that a hot key spreads.  Starts come from a prefix sum over one row for each
+partition.  A lookup groups its keys by block and reads each block once.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from climekin.llm.encoding import encoder
-from climekin.llm.scratch import new_path
+from climekin.llm.scratch import Tables, new_path, small
 
 #: A block is closed at so many ids.
 BLOCK_IDS = 1 << 20
+#: Blocks that a lookup names to its scan, at most.
+FEW_BLOCKS = 1000
 
 BLOCK_SCHEMA = (
     "part int, seq int, part_start long, n_docs int, n_null int, n_ids long, width int, min_key long, max_key long, "
@@ -126,11 +130,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     """Encode every text and write a store of the ids, each followed by ``end_id``."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-        .repartitionByRange(n, F.col("k").asc_nulls_first())
-        .sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    )
+    order = [F.col("k").asc_nulls_first(), "h", "place"]
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.select("k", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "t")
     schema = spark.createDataFrame([], BLOCK_SCHEMA).schema
     end = np.array([end_id], "<u4").tobytes()
 
@@ -159,7 +162,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
         if rows:
             yield flush()
 
-    ordered.mapInArrow(write, schema).write.option("compression", "zstd").parquet(path)
+    # Small row groups: a lookup skips those that it doesn't want.
+    ordered.mapInArrow(write, schema).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -216,35 +220,63 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return _blocks(spark, path).select(*need).mapInArrow(read, out)
 
 
+def _place(parts: list[tuple[int, int, int]]):
+    """Keys -> (key, part) for the parts whose range holds them; ranges ascend and may meet."""
+    number, low, high = (np.array(x, np.int64) for x in zip(*parts))
+
+    def place(batches):
+        for batch in batches:
+            k = np.asarray(batch.column(0))
+            first, n = np.searchsorted(high, k, "left"), np.searchsorted(low, k, "right")
+            n = np.maximum(n - first, 0)
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(number[at].astype(np.int32))], ["k", "part"])
+
+    return place
+
+
 def lookup(wanted: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Ids of the wanted keys: doc_id, start, n_tokens, ids; absent keys give no row.
 
     A key meets the blocks whose key range holds it: first by the ranges of
-    the writer's partitions (one row each), then by those of their blocks.
+    the writer's partitions (one row each, on the driver), then by those of
+    their blocks.  Keys are grouped by block, which is then read once; up to
+    ``FEW_BLOCKS`` blocks are named to the scan, so that it skips the others.
     """
     spark = wanted.sparkSession
+    tables = Tables(spark)
     blocks = _blocks(spark, path)
-    parts = blocks.groupBy("part").agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi"))
+    parts = blocks.groupBy("part").agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi")).where("lo is not null").orderBy("part").collect()
+    out = "doc_id long, start long, n_tokens long, ids array<int>"
+    if not parts:
+        return spark.createDataFrame([], out)
     keys = wanted.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    placed = keys.join(F.broadcast(parts), F.col("k").between(F.col("lo"), F.col("hi"))).select("k", "part")
-    hits = placed.join(blocks, "part").where("k between min_key and max_key")
+    placed = keys.mapInArrow(_place([tuple(p) for p in parts]), "k long, part int")
+    ranges = blocks.select("part", "seq", "min_key", "max_key")
+    hits = placed.join(ranges, "part").where("k between min_key and max_key").groupBy(F.col("part").alias("p"), F.col("seq").alias("s")).agg(F.sort_array(F.collect_list("k")).alias("wanted"))
+    hits = tables.stage(hits, "lookup-hits")
+    if hits.count() <= FEW_BLOCKS:
+        named = hits.select("p", "s").collect()
+        blocks = blocks.where(F.col("part").isin(sorted({r["p"] for r in named})) & F.col("seq").isin(sorted({r["s"] for r in named})))
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 keys, offsets, tokens, index = _open(row)
-                entry, same = _find(np.array([row["k"]], np.int64), index)
-                e = int(entry[0]) - row["n_null"]
+                asked = np.array(row["wanted"], np.int64)
+                entry, same = _find(asked, index)
                 rows = []
-                while same[0] and 0 <= e < len(keys) and keys[e] == row["k"]:
-                    a, b = offsets[e + row["n_null"]], offsets[e + row["n_null"] + 1]
-                    rows.append({"doc_id": row["k"], "start": int(row["start"] + a), "n_tokens": int(b - a), "ids": tokens[a:b].tolist()})
-                    e += 1
+                for k, e, good in zip(asked.tolist(), (entry - row["n_null"]).tolist(), same.tolist()):
+                    while good and 0 <= e < len(keys) and keys[e] == k:
+                        a, b = offsets[e + row["n_null"]], offsets[e + row["n_null"] + 1]
+                        rows.append({"doc_id": k, "start": int(row["start"] + a), "n_tokens": int(b - a), "ids": tokens[a:b].tolist()})
+                        e += 1
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    need = ["k", "start", "n_null", "width", "seeds", "fingerprints", "entries", "offsets", "keys", "payload"]
-    return hits.select(*need).mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
+    need = ["wanted", "start", "n_null", "width", "seeds", "fingerprints", "entries", "offsets", "keys", "payload"]
+    found = blocks.join(small(hits), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select(*need).mapInArrow(read, out)
+    return tables.result(found, "lookup")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact top-k inner-product search with a KD-tree in each shard.
 
-Candidates are dealt into shards by a hash of their id.  A shard's tree
+Candidates are dealt into shards by a hash of their id.  A shard's tree is
+built once and stored as a row of a table, however many queries there are.  It
 splits at the median of its widest dimension, down to leaves of ``LEAF``
 vectors, and keeps each node's tight bounding box.  A query goes best-first:
 a heap holds nodes by the largest score that any point of their box can
@@ -17,9 +18,13 @@ query rows that repeat an id and vector ask once, and different vectors of one
 id share one ranking of all their scores, where a candidate may come for each;
 fewer candidates than k give all; an empty table gives no rows.
 
-Scale: queries are taken in blocks of a bounded number of rows, each block
-broadcast to all shards; nothing else is collected or broadcast.  Components
-are integers; scores are exact while they fit 64 bits.
+Components are integers of 64 bits (beyond, they are the nearest such number);
+scores are exact, and beyond 64 bits rank by their true value and are given as
+the nearest number of 64 bits.
+
+Scale: queries are taken in blocks of a bounded number of rows; each block
+goes to all tasks, which open the stored trees one after the other; nothing
+else is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -31,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from climekin.llm.scratch import new_path, stage
+from climekin.llm.scratch import Tables, new_path
 
 LEAF = 128
 #: Vectors of a shard, about.
 SHARD_ROWS = 8192
-#: Queries of a block, about; 64 components of them take 5 MB.
-BLOCK_ROWS = 10_000
+#: Queries of a block, about; 64 components of them take 10 MB.
+BLOCK_ROWS = 20_000
 
 
 class KDTree:
@@ -68,6 +73,22 @@ class KDTree:
         self.ids, self.points = ids[order], points[order]
         self.low, self.high = np.array(low), np.array(high)
 
+    def pack(self) -> tuple[bytes, ...]:
+        """ids, points, boxes, children and spans, as 64-bit integers."""
+        children = [c or (-1, -1) for c in self.children]
+        return tuple(np.ascontiguousarray(x, "<i8").tobytes() for x in (self.ids, self.points, self.low, self.high, children, self.span))
+
+    @classmethod
+    def unpack(cls, packed: tuple[bytes, ...], kind=np.int64) -> KDTree:
+        """The tree again, numbers as ``kind``."""
+        ids, points, low, high, children, span = (np.frombuffer(x, "<i8") for x in packed)
+        tree = cls.__new__(cls)
+        tree.ids = ids
+        tree.points, tree.low, tree.high = (x.reshape(-1, len(points) // max(1, len(ids))).astype(kind) for x in (points, low, high))
+        tree.children = [(a, b) if a >= 0 else None for a, b in children.reshape(-1, 2).tolist()]
+        tree.span = [tuple(x) for x in span.reshape(-1, 2).tolist()]
+        return tree
+
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(queries, nodes) largest inner product that a point in each box can have."""
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
@@ -104,56 +125,75 @@ class KDTree:
         return best
 
 
-def _number(x: np.ndarray) -> np.ndarray:
-    """Exact in doubles (and fast) if no sum can pass 2**53; else 64-bit integers."""
-    return x.astype(np.float64) if len(x) == 0 or float(np.abs(x).max()) ** 2 * x.shape[1] < 2**52 else x
+def _kind(most: int, size: int):
+    """Numbers in which inner products of ``size`` components up to ``most`` are exact: doubles, which are fast, 64-bit or Python integers."""
+    top = most * most * max(1, size)
+    return np.float64 if top < 2**52 else np.int64 if top < 2**62 else object
 
 
-def _answer(queries: dict, k: int, first: bool):
-    """One shard's rows -> (query_id, vec_id, score) of its best candidates for each query."""
+def _most(x: np.ndarray) -> int:
+    return max(int(x.max()), -int(x.min())) if x.size else 0
 
-    def answer(batches):
-        ids, vectors = [], []
-        for batch in batches:
-            ids += batch.column(1).to_pylist()
-            flat = batch.column(2)
-            vectors += [np.asarray(v, np.int64) for v in flat.to_pylist()]
-        got: list[tuple[int, int, int]] = []
-        for size in {len(v) for v in vectors} & set(queries):
+
+_TREES = "shard int, size int, most decimal(20,0), ids binary, points binary, low binary, high binary, children binary, span binary"
+
+
+def _build(batches):
+    """Rows (shard, id, vector) of whole shards, sorted -> a tree for each shard and length of vectors."""
+    from decimal import Decimal
+
+    def trees(shard, ids, vectors):
+        out = []
+        for size in sorted({len(v) for v in vectors}):
             at = [i for i, v in enumerate(vectors) if len(v) == size]
             points = np.array([vectors[i] for i in at], np.int64).reshape(len(at), size)
-            q_ids, q, kth = queries[size]
-            both = _number(np.concatenate((points, q)))
-            tree, q = KDTree(np.array([ids[i] for i in at], np.int64), both[: len(at)]), both[len(at) :]
-            for a in range(0, len(q), 256):
-                bound = tree.bounds(q[a : a + 256])
-                for i, b in enumerate(bound):
-                    lowest = kth.get(int(q_ids[a + i])) if kth else None
-                    got += [(int(q_ids[a + i]), v, int(-s)) for s, v in tree.search(q[a + i], int(q_ids[a + i]), b, k, lowest, 1 if first else None)]
-        cols = [*zip(*got)] or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    return answer
+            most = _most(points)
+            # Differences of components, which the splits take, have to fit too.
+            tree = KDTree(np.array([ids[i] for i in at], np.int64), points if most < 2**62 else points.astype(object), LEAF) if size else None
+            out.append((shard, size, Decimal(most), *(tree.pack() if tree else (np.array([ids[i] for i in at], "<i8").tobytes(), *[b""] * 5))))
+        names = [c.split()[0] for c in _TREES.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.decimal128(20, 0), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    shard, ids, vectors = None, [], []
+    for batch in batches:
+        for s, k, v in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if s != shard and ids:
+                yield trees(shard, ids, vectors)
+                ids, vectors = [], []
+            shard = s
+            ids.append(k)
+            vectors.append(np.array(v, np.int64))
+    if ids:
+        yield trees(shard, ids, vectors)
 
 
-def _by_shard(answer):
-    """Tasks hold whole shards, sorted by shard; each is answered on its own."""
+def _answer(queries: dict, k: int, first: bool):
+    """Stored trees -> (query_id, vec_id, score) of each shard's best candidates for each query; score as text where it may pass 64 bits."""
+    edge = 2**63
 
-    def run(batches):
-        held, shard = [], None
+    def answer(batches):
         for batch in batches:
-            marks = np.asarray(batch.column(0))
-            edges = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
-            for a, b in zip(edges, edges[1:]):
-                if b > a:
-                    if held and marks[a] != shard:
-                        yield from answer(held)
-                        held = []
-                    held, shard = [*held, batch.slice(a, b - a)], marks[a]
-        if held:
-            yield from answer(held)
+            for _, size, most, *packed in zip(*(batch.column(c).to_pylist() for c in range(9))):
+                if size not in queries:
+                    continue
+                q_ids, q, kth = queries[size]
+                got: list[tuple[int, int, int]] = []
+                if size == 0:
+                    ids = np.sort(np.frombuffer(packed[0], "<i8"))[: k + 1].tolist()
+                    got = [(i, v, 0) for i in q_ids.tolist() for v in [x for x in ids if x != i][:k]]
+                else:
+                    kind = _kind(max(int(most), _most(q)), size)
+                    tree, asked = KDTree.unpack(tuple(packed), kind), q.astype(kind)
+                    for a in range(0, len(q), 256):
+                        bound = tree.bounds(asked[a : a + 256])
+                        for i, b in enumerate(bound):
+                            own = int(q_ids[a + i])
+                            got += [(own, v, int(-s)) for s, v in tree.search(asked[a + i], own, b, k, kth.get(own) if kth else None, 1 if first else None)]
+                cols = [*zip(*got)] or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([str(x) for x in cols[2]], pa.string()), pa.array([max(-edge, min(edge - 1, x)) for x in cols[2]], pa.int64())], ["query_id", "vec_id", "exact", "score"])
 
-    return run
+    return answer
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "vector") -> DataFrame:
@@ -163,17 +203,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<bigint>").alias("v"), is_query.alias("q")).where("k is not null and v is not null")
+    tables = Tables(spark)
     total = rows.count()
     shards = max(1, -(-total // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = stage(rows.repartition(tasks, "shard").sortWithinPartitions("shard", "k"), "topk-shards").select("shard", "k", "v")
-    asked = stage(rows.where("q").select("k", "v").dropDuplicates(["k", "v"]), "topk-queries")
+    dealt = rows.select(F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard"), "k", "v").repartition(tasks, "shard").sortWithinPartitions("shard", "k")
+    trees = tables.stage(dealt.mapInArrow(_build, _TREES), "topk-trees")
+    asked = tables.stage(rows.where("q").select("k", "v").dropDuplicates(["k", "v"]), "topk-queries")
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(blocks)))
-    shards_sorted = dealt.repartition(tasks, "shard").sortWithinPartitions("shard")
     out = new_path(spark, "topk-answers")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # Sums may have more digits than a decimal: their order is that of sign and length, then digits.
+    down = F.col("exact").startswith("-")
+    digits = F.lpad(F.ltrim(F.lit("-"), F.col("exact")), 60, "0")
+    best = Window.partitionBy("query_id").orderBy(down, F.when(~down, digits).desc(), F.when(down, digits), "vec_id")
     for block in range(blocks):
         some = asked.where(F.col("block") == block).select("k", "v").toPandas()
         if some.empty:
@@ -182,17 +225,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         for size in some["v"].map(len).unique():
             own = some[some["v"].map(len) == size]
             queries[int(size)] = [own["k"].to_numpy(np.int64), np.array(own["v"].tolist(), np.int64).reshape(len(own), int(size)), {}]
-        schema = "query_id long, vec_id long, score long"
-        near = shards_sorted.mapInArrow(_by_shard(_answer(queries, k, True)), schema)
-        kth = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "score").toPandas()
-        lowest = dict(zip(kth["query_id"].tolist(), kth["score"].tolist()))
+        schema = "query_id long, vec_id long, exact string, score long"
+        near = trees.mapInArrow(_answer(queries, k, True), schema)
+        kth = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "exact").toPandas()
+        lowest = {int(i): int(x) for i, x in zip(kth["query_id"], kth["exact"])}
         for entry in queries.values():
             entry[2] = {int(i): lowest[int(i)] for i in entry[0] if int(i) in lowest}
-        found = shards_sorted.mapInArrow(_by_shard(_answer(queries, k, False)), schema)
+        found = trees.mapInArrow(_answer(queries, k, False), schema)
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
-    if blocks and not asked.isEmpty():
-        return spark.read.parquet(out)
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    nothing = asked.isEmpty()
+    tables.drop()
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if nothing else spark.read.parquet(out)
 
 
 def integers(vector: Column, factor: int = 256) -> Column:

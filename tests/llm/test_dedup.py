@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -50,6 +51,40 @@ def test_exact_goes_on_from_its_state(spark, tmp_path):
     assert got == {3: (3, 2), 4: (4, 1)}
 
 
+def test_exact_bytes_across_runs(spark, tmp_path):
+    """A digest that clashes with an earlier run's is resolved by the texts of both."""
+    state = f"file://{tmp_path}/state"
+    weak = {"digest": lambda t: F.length(t).cast("string").cast("binary"), "state": state}
+    runs = [[(1, "aa"), (2, "c")], [(3, "bb"), (4, "c")], [(5, "aa"), (6, "bb"), (7, "dd")]]
+    seen = []
+    for n, rows in enumerate(runs):
+        seen += rows
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_report(files(spark, tmp_path / str(n), rows), **weak).collect()}
+        groups = exact_groups(seen)
+        assert got == {k: groups[t] for k, t in rows}
+
+
+def test_exact_repeated_run(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    docs = files(spark, tmp_path, [(1, "a"), (2, "a"), (3, "b")])
+    want = sorted(exact_dedup.dedup_report(docs, state=state).collect())
+    assert sorted(exact_dedup.dedup_report(docs, state=state).collect()) == want
+    # Without files a run needs a name to be known again.
+    rows = frame(spark, [(9, "b"), (8, "c")])
+    for _ in range(2):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_report(rows, state=state, run="second").collect()}
+        assert got == {9: (9, 2, True), 8: (8, 1, True)}
+
+
+def test_exact_column_named_like_sparks_own(spark, tmp_path):
+    for docs in (frame(spark, EDGE), files(spark, tmp_path, EDGE)):
+        docs = docs.withColumn("_metadata", F.lit("mine"))
+        assert exact_dedup.dedup_report(docs).count() == len(EDGE)
+        kept = exact_dedup.deduplicate(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, _ in exact_groups(EDGE).values())
+
+
 def words(r, n):
     return [f"w{x}" for x in r.integers(0, 50_000, n)]
 
@@ -68,8 +103,17 @@ def near_rows(seed=3):
     return rows
 
 
+def word_sets(rows):
+    """Sets of five-word strings, made without the operator's code."""
+    out = {}
+    for k, t in rows:
+        w = [x for x in re.split("[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        out[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
 def brute(rows, percent):
-    sets = {k: set(near_dedup.shingles(t).tolist()) for k, t in rows}
+    sets = word_sets(rows)
     up = {k: k for k in sets}
 
     def find(x):
@@ -114,6 +158,72 @@ def test_near_hot_group_without_a_common_centre(spark):
     assert got == want
 
 
+def test_overlaps():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 400, int(n)).astype(np.uint64)) for n in r.integers(1, 300, 40)]
+    left, right = np.arange(0, 25), np.arange(10, 40)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert near_dedup.overlaps(sets, left, right).tolist() == want
+    # By incidence matrices, too.
+    many = [np.unique(r.integers(0, 3000, 2500).astype(np.uint64)) for _ in range(120)]
+    both = np.arange(120)
+    assert near_dedup.overlaps(many, both, both).tolist() == [[len(np.intersect1d(a, b)) for b in many] for a in many]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_variants_around_the_threshold(spark, monkeypatch, small):
+    """1,500 variants of three texts, near 0.66, 0.84 and 0.86: links leave tasks as fewer rows than there are members."""
+    if small:
+        # Buckets are dealt over many tasks.
+        monkeypatch.setattr(near_dedup, "CELL_MEMBERS", 60)
+    r, rows = np.random.default_rng(5), []
+    for part, edits in enumerate((5, 2, 2)):
+        base = words(r, 150 if part < 2 else 190)
+        for _ in range(500):
+            text = list(base)
+            for i in r.integers(0, len(text), edits):
+                text[int(i)] = f"e{r.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    made, connect = [], near_dedup.relabel
+    monkeypatch.setattr(near_dedup, "relabel", lambda labels, links, tables: (made.append(links.count()), connect(labels, links, tables))[1])
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_report(frame(spark, rows)).collect()}
+    assert got == {k: c for k, (_, c) in brute(rows, 85).items()}
+    assert sum(made) <= (20 if small else 3) * len(rows)
+
+
+def test_near_recall(spark):
+    """Pairs of all similarities, each on its own: links found of those there are."""
+    r, rows = np.random.default_rng(6), []
+    for k in range(600):
+        base = words(r, 120)
+        text = list(base)
+        for i in r.integers(0, 120, int(r.integers(1, 4))):
+            text[int(i)] = f"e{r.integers(0, 10**9)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(text))]
+    want = {k for k, (_, c) in brute_pairs(rows).items() if c != k}
+    got = {x["doc_id"] for x in near_dedup.near_report(frame(spark, rows)).collect() if not x["kept"]}
+    assert got <= want and len(want) > 200 and len(got) >= 0.99 * len(want)
+
+
+def brute_pairs(rows):
+    sets = word_sets(rows)
+    return {k: (len(s), k - 1 if k % 2 and 100 * len(s & sets[k - 1]) >= 85 * len(s | sets[k - 1]) else k) for k, s in sets.items()}
+
+
+def test_near_very_long_text(monkeypatch):
+    """Parts of a text and of its shingles give what the whole gives."""
+    r = np.random.default_rng(7)
+    text = " ".join(words(r, 5000)) + "\n\tEnd  of it"
+    with np.errstate(over="ignore"):
+        whole = near_dedup.shingles(text)
+        one = near_dedup.superminhash(whole, np.zeros(len(whole), np.int64), 1, 125)
+        monkeypatch.setattr(near_dedup, "TEXT_BYTES", 100)
+        monkeypatch.setattr(near_dedup, "BATCH_SHINGLES", 64)
+        parts = near_dedup.shingles(text)
+        assert parts.tolist() == whole.tolist()
+        assert (near_dedup.superminhash(parts, np.zeros(len(parts), np.int64), 1, 125) == one).all()
+
+
 def test_near_edges(spark):
     docs = frame(spark, [*EDGE, (4, "a b c d e f g")])
     got = near_dedup.near_report(docs).collect()
@@ -207,7 +317,12 @@ def cut_brute(rows, length=50):
     return out
 
 
-def test_substrings(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_substrings(spark, monkeypatch, small):
+    if small:
+        # Several shards with several groups each.
+        monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 2000)
+        monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 1500)
     r = np.random.default_rng(4)
     passages = [" ".join(words(r, 25)) for _ in range(5)]
     rows = []

@@ -94,6 +94,24 @@ def test_topk_blocks_and_shards(spark, monkeypatch):
     assert topk_search.search(df.limit(0), df["vec_id"] % 5 == 0).count() == 0
 
 
+def test_trees_are_built_once_for_all_blocks(spark, monkeypatch):
+    labels = []
+    stage = topk_search.Tables.stage
+    monkeypatch.setattr(topk_search.Tables, "stage", lambda self, df, label: (labels.append(label), stage(self, df, label))[1])
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 5)
+    df = spark.createDataFrame([(i, [i, -i]) for i in range(40)], "vec_id long, vector array<long>")
+    assert topk_search.search(df, df["vec_id"] % 2 == 0).count() == 100
+    assert labels.count("topk-trees") == 1
+
+
+def test_topk_of_large_numbers(spark):
+    """Scores past 64 bits rank by their true value and are given as the nearest 64-bit number."""
+    top = 2**63 - 1
+    df = spark.createDataFrame([(0, [top, top]), (1, [top, top]), (2, [top, 1]), (3, [-top, 0]), (4, [1, 0])], "vec_id long, vector array<long>")
+    got = [(r["vec_id"], r["score"]) for r in topk_search.search(df, df["vec_id"] == 0).orderBy("rank").collect()]
+    assert got == [(1, top), (2, top), (4, top), (3, -top - 1)]
+
+
 def test_tree_bounds_and_pruning():
     r = np.random.default_rng(3)
     points = r.integers(-100, 100, (2000, 3))

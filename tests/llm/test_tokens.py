@@ -60,6 +60,21 @@ def test_store_round_trip(spark, monkeypatch):
     assert found == {1: [*library(BYTES, EDGE[0][1]), 0], 5: [*library(BYTES, EDGE[4][1]), 0]}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_lookup_of_many_keys(spark, monkeypatch, few):
+    """Keys are grouped by block: a block's payload meets all of its keys at once."""
+    monkeypatch.setattr(token_store, "BLOCK_IDS", 50)
+    monkeypatch.setattr(token_store, "FEW_BLOCKS", few)
+    path = new_path(spark, "test-store")
+    rows = [*[(i, f"text number {i}") for i in range(0, 400, 2)], *[(7, f"hot {i}") for i in range(300)], *[(None, f"null {i}") for i in range(50)]]
+    token_store.write_store(frame(spark, rows).repartition(5), path, BYTES)
+    assert token_store.read_store(spark, path).count() == len(rows)
+    keys = spark.createDataFrame([(i,) for i in [*range(-5, 410), 7]], "doc_id long")
+    got = token_store.lookup(keys, path).collect()
+    want = sorted((i, [*library(BYTES, t), 0]) for i, t in rows if i is not None)
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == want
+
+
 def test_store_of_repeated_keys(spark):
     path = new_path(spark, "test-store")
     token_store.write_store(frame(spark, [(1, "b"), (1, "a"), (1, "a"), (2, "c")]), path, BYTES)
