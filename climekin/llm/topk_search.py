@@ -215,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     out = new_path(spark, "topk-answers")
     # Sums may have more digits than a decimal: their order is that of sign and length, then digits.
     down = F.col("exact").startswith("-")
-    digits = F.lpad(F.ltrim(F.lit("-"), F.col("exact")), 60, "0")
+    digits = F.lpad(F.ltrim(F.col("exact"), F.lit("-")), 60, "0")
     best = Window.partitionBy("query_id").orderBy(down, F.when(~down, digits).desc(), F.when(down, digits), "vec_id")
     for block in range(blocks):
         some = asked.where(F.col("block") == block).select("k", "v").toPandas()
