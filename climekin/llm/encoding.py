@@ -28,7 +28,7 @@ from array import array
 import numpy as np
 
 #: Entries of one cache; a full cache is emptied.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 

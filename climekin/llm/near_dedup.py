@@ -56,8 +56,8 @@ BATCH_SHINGLES = 150_000
 #: Bytes of a text that are split into words together.
 TEXT_BYTES = 4 << 20
 #: Members, and shingles of all their sets, that one block of a bucket holds, about.
-CELL_MEMBERS = 2048
-CELL_SHINGLES = 2_000_000
+CELL_MEMBERS = 1024
+CELL_SHINGLES = 1_000_000
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
@@ -190,26 +190,26 @@ def _sets(size: int):
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """(left, right) sizes of the intersections of sets, given by their places in ``sets``."""
     total = len(left) * len(right)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    number = np.concatenate(([0], np.cumsum(flat[1:] != flat[:-1])))
-    side = np.full((2, len(sets)), -1)
+    number = np.concatenate(([0], np.cumsum(flat[1:] != flat[:-1], dtype=np.int32)), dtype=np.int32)
+    side = np.full((2, len(sets)), -1, np.int32)
     side[0, left], side[1, right] = np.arange(len(left)), np.arange(len(right))
     l, r = side[0, owner], side[1, owner]
-    kinds = number[-1] + 1
+    kinds = int(number[-1]) + 1
     cl, cr = (np.bincount(number[x >= 0], minlength=kinds) for x in (l, r))
     # Only shingles that both sides have count.
     both = (cl > 0) & (cr > 0)
     if len(left) + len(right) > len(sets):
         both &= np.bincount(number, minlength=kinds) > 1
     common = int((cl * cr)[both].sum())
-    place = np.cumsum(both) - 1
+    place = np.cumsum(both, dtype=np.int32) - 1
     use_l, use_r = (l >= 0) & both[number], (r >= 0) & both[number]
     lv, lo, rv, ro = place[number[use_l]], l[use_l], place[number[use_r]], r[use_r]
     kinds = int(both.sum())
-    if common <= 4_000_000 or common * 500 <= total * kinds:
+    if common <= 2_000_000 or common * 500 <= total * kinds:
         # Few meetings: each is counted.
         out = np.zeros(total, np.int64)
         counts = cr[both]
@@ -217,7 +217,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
         steps = np.concatenate(([0], np.cumsum(counts[lv])))
         at = 0
         while at < len(lv):
-            end = max(at + 1, int(np.searchsorted(steps, steps[at] + 4_000_000, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(steps, steps[at] + 2_000_000, side="right")) - 1)
             n = counts[lv[at:end]]
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             meet = ro[np.repeat(first[lv[at:end]], n) + inner]
@@ -225,7 +225,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
             at = end
         return out.reshape(len(left), len(right))
     out = np.zeros((len(left), len(right)), np.int64)
-    step = max(1, 16_000_000 // (len(left) + len(right)))
+    step = max(1, 4_000_000 // (len(left) + len(right)))
     for at in range(0, kinds, step):
         a, b = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
         i, j = (slice(*np.searchsorted(v, (at, at + step))) for v in (lv, rv))
