@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from climekin.functions.metrics import weight
+from climekin.operators import boxes
 from climekin.operators.candidates import Plan, candidates, choose, matches
 from climekin.plans.spec import Mode, SearchSpec
-from climekin.sources.points import climate, extent, known, looks_lonlat
+from climekin.sources.points import climate, extent, known, looks_lonlat, number_rows
 
 #: From so many pairs in the product on, nearest neighbours take a first pass
 #: of hash aggregations that bounds each focal point's k-th distance.
@@ -21,42 +22,53 @@ def _pair_columns(spec: SearchSpec) -> list:
 
 
 def _nearest(pairs: DataFrame, key: str, k: int) -> DataFrame:
-    order = Window.partitionBy("f_id").orderBy(key, "r_id")
+    order = Window.partitionBy("f_row").orderBy(key, "r_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def _bounds(pairs: DataFrame, key: str, k: int) -> DataFrame:
-    """id, bound: a distance that the k-th nearest can't exceed, where known.
+    """row, bound: a distance that the k-th nearest can't exceed, where known.
 
     References fall into buckets; the k-th of the buckets' least distances is
     the distance of one of k different points.  No match is sorted for it.
     """
     buckets = 1 if k == 1 else 4 * k
-    least = pairs.groupBy(F.col("f_id").alias("id"), F.pmod(F.xxhash64("r_id"), F.lit(buckets)).alias("bucket")).agg(F.min(key).alias("d"))
-    return least.groupBy("id").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias("bound"))
+    least = pairs.groupBy(F.col("f_row").alias("row"), F.pmod(F.xxhash64("r_id"), F.lit(buckets)).alias("bucket")).agg(F.min(key).alias("d"))
+    return least.groupBy("row").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias("bound"))
+
+
+def _rows(focal: DataFrame) -> DataFrame:
+    """focal with ``row``, which tells its rows apart: the id, or a number where ids repeat or are null."""
+    again = focal.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    return number_rows(focal, "row") if not again.isEmpty() else focal.withColumn("row", F.col("id"))
 
 
 def run(focal: DataFrame, ref: DataFrame, spec: SearchSpec, force: str | None = None) -> DataFrame:
     """The result of a search over normalised tables.
 
     Reference points with a missing number never match; focal points with one
-    match nothing and keep their row in aggregates.
+    match nothing and keep their row in aggregates.  Every focal row is a point
+    of its own, also where ids repeat or are null.
     """
     variables = len(climate(ref))
     spec.check_arity(len(climate(focal)), variables)
     stats = extent(focal, ref)
     lonlat = spec.coord_type.value == "lonlat" or spec.coord_type.value == "auto" and looks_lonlat(stats)
     plan: Plan = choose(spec, lonlat, stats, variables, force)
+    focal = _rows(focal)
     good_focal, good_ref = focal.where(known(focal)), ref.where(known(ref))
+    if spec.mode.nearest and not plan.grid and force is None and spec.unbounded and boxes.usable(stats["ref"], stats["focal"]):
+        # No threshold prunes: boxes of points do.
+        key = "clim_dist" if spec.mode is Mode.KNN_CLIM else "geog_dist"
+        pairs = matches(boxes.candidates(good_focal, good_ref, spec.mode is Mode.KNN_GEOG, lonlat, spec.k, stats), spec, lonlat, variables)
+        return _nearest(pairs.where(F.col(key) <= F.col("bound")), key, spec.k).select(*_pair_columns(spec))
     pairs = matches(candidates(good_focal, good_ref, plan, stats), spec, lonlat, variables)
     if spec.mode is Mode.ALL:
         return pairs.select(*_pair_columns(spec))
     if spec.mode.nearest:
         key = "clim_dist" if spec.mode is Mode.KNN_CLIM else "geog_dist"
         if stats["focal"]["n"] * stats["ref"]["n"] >= BOUND_PRODUCT:
-            # Points with null ids have their bound too.
-            bounds = _bounds(pairs, key, spec.k).withColumnRenamed("id", "b_id")
-            bounded = good_focal.join(bounds, F.col("id").eqNullSafe(F.col("b_id"))).drop("b_id")
+            bounded = good_focal.join(_bounds(pairs, key, spec.k), "row")
             pairs = matches(candidates(bounded, good_ref, plan, stats), spec, lonlat, variables)
             pairs = pairs.where(F.col("f_bound").isNull() | (F.col(key) <= F.col("f_bound")))
         return _nearest(pairs, key, spec.k).select(*_pair_columns(spec))
@@ -65,7 +77,7 @@ def run(focal: DataFrame, ref: DataFrame, spec: SearchSpec, force: str | None =
     else:
         w = weight(spec, F.col("clim_dist"), F.col("geog_dist"))
         value = F.sum(w) if spec.mode is Mode.SUM else F.avg(w)
-    found = pairs.groupBy(F.col("f_id").alias("m_id")).agg(value.alias("m_value"))
-    points = focal.select(F.col("id").alias("focal_index"), F.col("x").alias("focal_x"), F.col("y").alias("focal_y"))
-    out = points.join(found, F.col("focal_index") == F.col("m_id"), "left")
+    found = pairs.groupBy(F.col("f_row").alias("m_row")).agg(value.alias("m_value"))
+    points = focal.select("row", F.col("id").alias("focal_index"), F.col("x").alias("focal_x"), F.col("y").alias("focal_y"))
+    out = points.join(found, F.col("row") == F.col("m_row"), "left")
     return out.select("focal_index", "focal_x", "focal_y", F.coalesce("m_value", F.lit(0.0)).alias("value"))

@@ -127,6 +127,12 @@ class SearchSpec:
             return [None if math.isnan(t) or t == math.inf else t for t in self.max_clim]
         return [self.max_clim] * variables
 
+    @property
+    def unbounded(self) -> bool:
+        """Whether no threshold is active."""
+        clim = self.max_clim if isinstance(self.max_clim, tuple) else (self.max_clim,)
+        return self.max_geog is None and all(t is None or math.isnan(t) or t == math.inf for t in clim)
+
     @property
     def nothing(self) -> bool:
         """Whether a negative threshold rejects every pair."""

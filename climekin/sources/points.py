@@ -86,7 +86,7 @@ def climate(df: DataFrame) -> list[str]:
 
 def known(df: DataFrame) -> Column:
     """Whether all of a point's numbers are there: neither null nor NaN."""
-    return functools.reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in df.columns if c != "id"])
+    return functools.reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in df.columns if c not in ("id", "row")])
 
 
 def warn_names(focal: DataFrame, ref: DataFrame) -> None:

@@ -140,14 +140,31 @@ def test_metrics(spark):
         one.select(euclid_arrays(F.array(F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0)))).collect()
 
 
-def test_null_ids_keep_neighbours_above_the_bound(spark, monkeypatch):
+@pytest.mark.parametrize("options", [{"max_clim": 0.5}, {}])
+def test_null_and_repeated_ids_at_every_size(spark, monkeypatch, options):
+    """Every focal row is a point of its own, below and above the product from which distances are bounded first."""
     from climekin.operators import search as operator
 
-    focal = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (None, 5.0, 0.0, 0.0)], "id int, x double, y double, c0 double")
+    focal = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (None, 5.0, 0.0, 0.0), (None, 3.0, 0.0, 0.0), (1, 7.0, 0.0, 0.0)], "id int, x double, y double, c0 double")
     ref = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(1, 9)], "id int, x double, y double, c0 double")
-    got = []
+    o = P | {"focal_id": "id", "ref_id": "id"}
     for bound in (1_000_000, 1):
         monkeypatch.setattr(operator, "BOUND_PRODUCT", bound)
-        out = search(focal, ref, "knn_geog", max_clim=0.5, k=1, coord_type="projected", focal_id="id", ref_id="id").collect()
-        got.append(sorted((x["focal_index"] or 0, x["analog_index"]) for x in out))
-    assert got == [[(0, 5), (1, 1)]] * 2
+        out = search(focal, ref, "knn_geog", k=1, **options, **o).collect()
+        assert sorted((x["focal_index"] or 0, x["analog_index"]) for x in out) == [(0, 3), (0, 5), (1, 1), (1, 7)]
+    counts = availability(focal, ref, max_geog=1.5, **o).collect()
+    assert sorted((x["focal_index"] or 0, x["focal_x"], x["value"]) for x in counts) == [(0, 3.0, 3.0), (0, 5.0, 3.0), (1, 0.0, 1.0), (1, 7.0, 3.0)]
+
+
+@pytest.mark.parametrize(("mode", "coords"), [("knn_geog", "projected"), ("knn_geog", "lonlat"), ("knn_clim", "projected")])
+def test_boxes_find_the_nearest(spark, monkeypatch, mode, coords):
+    """Against brute force: dense and empty places, ties, a hot place that is dealt over tasks."""
+    from climekin.operators import boxes
+
+    monkeypatch.setattr(boxes, "SALT_ROWS", 50)
+    r = np.random.default_rng(3)
+    ref = pd.DataFrame(np.vstack((r.normal(0, 3, (400, 5)), np.tile([1.0, 1.0, 0.5, 0.5, 0.5], (150, 1)), r.uniform(-80, 80, (100, 5)))), columns=["x", "y", "c0", "c1", "c2"])
+    focal = pd.DataFrame(np.vstack((r.normal(0, 3, (40, 5)), r.uniform(-85, 85, (40, 5)), [[1.0, 1.0, 0.5, 0.5, 0.5]])), columns=ref.columns)
+    for k in (1, 7):
+        a, b = (sorted((x["focal_index"], x["analog_index"]) for x in search(focal, ref, mode, k=k, coord_type=coords, plan=p).collect()) for p in (None, "cross"))
+        assert a == b and len(a) == k * len(focal)
