@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climekin import api
-from climekin.functions.metrics import euclid, haversine_km
+from climekin.functions.metrics import euclid, euclid_arrays, haversine_km
 from climekin.sources.points import extent, looks_lonlat, normalise
-from climekin.sources.synthetic import grid
+from climekin.sources.synthetic import grid, layers, raster_cells, sample
 from climekin.streaming.focals import search_stream_once
 
 
@@ -43,16 +43,12 @@ def _self(spark, sf_dir):
 
 def _vectors(spark, sf_dir, scale: float = 1.0) -> DataFrame:
     v = [(F.element_at("embedding", i + 1).cast("double") * 10.0 * (scale if i < 2 else 1.0)).alias(n) for i, n in enumerate(["x", "y", "c0", "c1", "c2"])]
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", (F.col("vec_id") + 1).cast("int").alias("id"), *v)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") + 1).cast("int").alias("id"), *v)
 
 
 def _xy(spark, sf_dir, scale: float = 1.0):
+    """Every vector against all of them."""
     v = _vectors(spark, sf_dir, scale)
-    return v.where("vec_id % 5 = 0").drop("vec_id"), v.drop("vec_id")
-
-
-def _xy_full(spark, sf_dir):
-    v = _vectors(spark, sf_dir).drop("vec_id")
     return v, v
 
 
@@ -63,7 +59,7 @@ def _grid(spark, sf_dir):
     return grid(spark, side, 1), grid(spark, side, 2)
 
 
-_TABLES = {"ll": (_ll, 2, True), "xy": (_xy, 3, False), "xy_full": (_xy_full, 3, False), "self": (_self, 2, True)}
+_TABLES = {"ll": (_ll, 2, True), "xy": (_xy, 3, False), "self": (_self, 2, True)}
 
 
 def _sql_place(table: str, p: str, key: str) -> str:
@@ -74,8 +70,8 @@ def _sql_place(table: str, p: str, key: str) -> str:
 
 
 _SUPPLIER, _CUSTOMER = _sql_place("supplier", "s", "s_suppkey"), _sql_place("customer", "c", "c_custkey")
-_VECTORS = "SELECT vec_id, CAST(vec_id + 1 AS INTEGER) AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 10.0e0 AS {n}" for i, n in enumerate(["x", "y", "c0", "c1", "c2"])) + " FROM embeddings"
-_SOURCES = {"ll": (_SUPPLIER, _CUSTOMER), "self": (_SUPPLIER, _SUPPLIER), "xy": (f"SELECT * FROM ({_VECTORS}) WHERE vec_id % 5 = 0", _VECTORS), "xy_full": (_VECTORS, _VECTORS)}
+_VECTORS = "SELECT CAST(vec_id + 1 AS INTEGER) AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 10.0e0 AS {n}" for i, n in enumerate(["x", "y", "c0", "c1", "c2"])) + " FROM embeddings"
+_SOURCES = {"ll": (_SUPPLIER, _CUSTOMER), "self": (_SUPPLIER, _SUPPLIER), "xy": (_VECTORS, _VECTORS)}
 _HAVERSINE = (
     "2.0e0 * 6371.0088e0 * asin(sqrt(least(1.0e0, sin(radians(r.y - f.y) / 2) * sin(radians(r.y - f.y) / 2) + "
     "cos(radians(f.y)) * cos(radians(r.y)) * sin(radians(r.x - f.x) / 2) * sin(radians(r.x - f.x) / 2))))"
@@ -105,7 +101,8 @@ def _sql(tables: str, mode: str, max_clim=None, max_geog=None, k=None, weight=No
     if mode.startswith("knn"):
         key = "clim" if mode == "knn_clim" else "geog"
         return head + f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY focal_index ORDER BY {key}, analog_index) AS n FROM p) WHERE n <= {k or 1}"
-    w = {"inverse_clim": f"1.0e0 / (clim + {theta!r})", "inverse_geog": f"1.0e0 / (geog + {theta!r})"}.get(weight, "1.0e0")
+    # The fixed defaults of theta.
+    w = {"inverse_clim": f"1.0e0 / (clim + {theta or 1e-12!r})", "inverse_geog": f"1.0e0 / (geog + {theta or 1e-6!r})"}.get(weight, "1.0e0")
     value = {"count": "CAST(count(focal_index) AS DOUBLE)", "sum": f"sum({w})", "mean": f"avg({w})"}[mode]
     return head + (
         f"SELECT f.id AS focal_index, round(f.x, 6) AS focal_x, round(f.y, 6) AS focal_y, round(coalesce(a.value, 0.0e0), 6) AS value "
@@ -155,9 +152,14 @@ CATALOGUE = {
     "mean_invgeog_xy": ("xy", "mean", {"max_clim": 1.5, "max_geog": 2.0, "weight": "inverse_geog", "theta": 0.1}),
     "pervar_partial_ll": ("ll", "count", {"max_clim": (0.5, _INF)}),
     "antimeridian_ll": ("ll", "all", {"max_geog": 100.0}),
+    "intensity_default_theta_ll": ("ll", "sum", {"max_clim": 1.0, "max_geog": 2000.0, "weight": "inverse_clim"}),
+    "mean_invclim_ll": ("ll", "mean", {"max_clim": 1.0, "max_geog": 2000.0, "weight": "inverse_clim", "theta": 0.1}),
+    "mean_invgeog_default_theta_ll": ("ll", "mean", {"max_clim": (0.5, 0.3), "weight": "inverse_geog"}),
+    "all_pervar_ll": ("ll", "all", {"max_clim": (0.5, 0.3), "max_geog": 4000.0}),
+    "knn_pervar_ll": ("ll", "knn_geog", {"max_clim": (0.5, _INF), "k": 4}),
+    "impact_pervar_xy": ("xy", "knn_clim", {"max_clim": (1.0, 0.5, 2.0), "max_geog": 3.0, "k": 3}),
+    "nothing_matches_ll": ("ll", "all", {"max_clim": -1.0}),
 }
-# "xy" asks for a fifth of the vectors, as F_XY has it; each of its searches also runs for all of them.
-CATALOGUE |= {f"{n}_full": ("xy_full", m, o) for n, (t, m, o) in CATALOGUE.items() if t == "xy"}
 
 
 def coord_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +189,17 @@ def _index_stats(**options) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f, r = _ll(spark, sf_dir)
         out = api.index_stats(f, r, focal_id="id", ref_id="id", **options)
-        return _rounded(out.select("n_focal", "n_ref", "n_clim", "geo_mode", "binning_method", "total_bins", "avg_bin_occupancy", "min_bin_occupancy", "max_bin_occupancy"))
+        limits = F.concat_ws(";", F.transform(F.coalesce("max_clim", F.array().cast("array<double>")), lambda t: t.cast("string"))).alias("max_clim")
+        return _rounded(out.select("n_focal", "n_ref", "n_clim", "max_geog", limits, "geo_mode", "binning_method", "total_bins", "avg_bin_occupancy", "min_bin_occupancy", "max_bin_occupancy", "mode", "weight", "theta"))
 
     return run
 
 
-def _index_sql(max_clim=None, max_geog=None) -> str:
+def _index_sql(max_clim=None, max_geog=None, mode="knn_clim", weight=None, theta=None) -> str:
     head = f"WITH f AS ({_SUPPLIER}), r AS ({_CUSTOMER})"
-    counts = "(SELECT count(*) FROM f) AS n_focal, (SELECT count(*) FROM r) AS n_ref, CAST(2 AS INTEGER) AS n_clim, 'lonlat' AS geo_mode"
+    counts = "(SELECT count(*) FROM f) AS n_focal, (SELECT count(*) FROM r) AS n_ref, CAST(2 AS INTEGER) AS n_clim, 'lonlat' AS geo_mode, "
+    counts += f"CAST({'NULL' if max_geog is None else repr(max_geog)} AS DOUBLE) AS max_geog, '{'' if max_clim is None else max_clim}' AS max_clim, '{mode}' AS mode, "
+    counts += f"CAST({'NULL' if weight is None else repr(weight)} AS VARCHAR) AS weight, CAST({'NULL' if theta is None else repr(theta)} AS DOUBLE) AS theta"
     if max_clim is None and max_geog is None:
         n = "(SELECT CAST(count(*) AS DOUBLE) FROM r)"
         return f"{head} SELECT {counts}, 'none' AS binning_method, 1.0e0 AS total_bins, {n} AS avg_bin_occupancy, {n} AS min_bin_occupancy, {n} AS max_bin_occupancy"
@@ -212,16 +217,85 @@ def _index_sql(max_clim=None, max_geog=None) -> str:
 
 
 def velocity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The harness query: the cells of one era that its SQL names, a hundredth, against all cells of the next."""
+    """The harness query: all cells of one era against all cells of the next."""
     a, b = _grid(spark, sf_dir)
-    some = a.where("(CAST(id AS BIGINT) * 7919) % 1000 < 10")
-    return _rounded(api.velocity(some, b, 0.5, coord_type="projected", focal_id="id", ref_id="id"))
+    return _rounded(api.velocity(a, b, 0.5, coord_type="projected", focal_id="id", ref_id="id"))
 
 
-def velocity_grid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cells of one era against all cells of the next."""
-    a, b = _grid(spark, sf_dir)
-    return _rounded(api.velocity(a, b, 0.5, coord_type="projected", focal_id="id", ref_id="id"))
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of tables without ids, which are numbered in their order: here the suppliers', whose keys ascend."""
+    f = _place(spark, sf_dir, "supplier", "s").orderBy("id").coalesce(1).drop("id")
+    return _rounded(api.search(f, f, "all", 1.0, 2000.0, coord_type="lonlat"))
+
+
+def euclid_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each vector from itself turned round, over whole arrays."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return _rounded(v.select("vec_id", euclid_arrays(F.col("v"), F.reverse("v")).alias("distance")))
+
+
+def _long_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a raster in long form: a row for each place and layer; place and layers follow the key."""
+    k = F.col("c_custkey").cast("long")
+    cells = spark.read.parquet(f"{sf_dir}/customer.parquet").select((k % 40 + 0.5).alias("x"), (F.floor(k / 40) + 0.5).alias("y"), F.col("c_acctbal").cast("double").alias("a"), (F.col("c_nationkey") + 1).cast("double").alias("b"), k.alias("k"))
+    layers_ = F.array(F.struct(F.lit("a").alias("layer"), F.col("a").alias("value")), F.struct(F.lit("b").alias("layer"), F.when(F.col("k") % 7 != 0, F.col("b")).alias("value")), F.struct(F.lit("d").alias("layer"), (F.col("b") + 2).alias("value")))
+    return cells.withColumn("l", F.explode(layers_)).select("x", "y", "l.layer", "l.value")
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(raster_cells(_long_raster(spark, sf_dir), names=["a", "b", "d"]))
+
+
+def raster_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = raster_cells(_long_raster(spark, sf_dir), names=["a", "b", "d"])
+    return _rounded(layers(cells, {"mean": ["b", "d"], "logged": ["d"]}, ["logged"], (5.0, 30.0, 0.0, 1e9)).drop("a"))
+
+
+def grid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling operator: its size, and that its cells are different ones of the grid."""
+    a, _ = _grid(spark, sf_dir)
+    s = sample(a, 100)
+    return s.join(a.select("id"), "id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+
+
+#: What a search's arguments may be: (case, arguments, whether they are refused).
+_ARGUMENTS = [
+    ("mode unknown", {"mode": "nearest"}, True),
+    ("coordinates unknown", {"coord_type": "polar"}, True),
+    ("k below one", {"k": 0}, True),
+    ("k of two values", {"k": [1, 2]}, True),
+    ("k missing", {"k": math.nan}, True),
+    ("k fractional", {"k": 2.9}, False),
+    ("k default", {}, False),
+    ("k for a count", {"mode": "count", "k": 3}, True),
+    ("weight for neighbours", {"weight": "uniform"}, True),
+    ("weight for a count", {"mode": "count", "weight": "uniform"}, True),
+    ("weight unknown", {"mode": "sum", "weight": "heavy"}, True),
+    ("weight default", {"mode": "mean"}, False),
+    ("theta for uniform weights", {"mode": "sum", "weight": "uniform", "theta": 1.0}, True),
+    ("theta of zero", {"mode": "sum", "weight": "inverse_clim", "theta": 0.0}, True),
+    ("theta for neighbours", {"theta": 1.0}, True),
+    ("threshold infinite", {"max_geog": math.inf}, False),
+    ("threshold negative", {"max_clim": -1.0}, False),
+    ("threads ignored", {"n_threads": 3}, False),
+    ("bands of another number", {"max_clim": (1.0, 1.0, 1.0)}, True),
+    ("variables of another number", {"variables": 1}, True),
+]
+
+
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each rule refuses its arguments, on the driver's tables."""
+    f, r = _ll(spark, sf_dir)
+    rows = []
+    for name, options, _ in _ARGUMENTS:
+        options = dict(options)
+        focal = f.drop("c1") if options.pop("variables", None) else f
+        try:
+            api.search(focal, r, focal_id="id", ref_id="id", **options)
+            rows.append((name, False))
+        except ValueError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "argument string, refused boolean")
 
 
 def stream_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,15 +309,25 @@ QUERIES |= {
     "haversine_pairs": haversine_pairs,
     "euclid_pairs": euclid_pairs,
     "index_stats_ll": _index_stats(max_clim=1.0, max_geog=2000.0),
+    "index_stats_weighted": _index_stats(mode="sum", max_clim=1.0, max_geog=2000.0, weight="inverse_geog", theta=0.5),
     "index_stats_ll_clim": _index_stats(max_clim=0.5),
     "index_stats_none": _index_stats(),
     "velocity_grid": velocity_grid,
-    "velocity_grid_full": velocity_grid_full,
+    "row_numbers": row_numbers,
+    "euclid_arrays": euclid_of_arrays,
+    "raster_cells": raster,
+    "raster_layers": raster_layers,
+    "grid_sample": grid_sample,
+    "validation": validation,
     "stream_availability": stream_availability,
 }
 
 ORACLE_SQL: dict[str, str] = {n: _sql(t, m, **o) for n, (t, m, o) in CATALOGUE.items()}
 _JOINED = f"FROM ({_SUPPLIER}) f JOIN ({_CUSTOMER}) r ON f.id = r.id"
+_CELLS = (
+    "SELECT CAST(row_number() OVER (ORDER BY y DESC, x) AS INTEGER) AS id, * FROM (SELECT (c_custkey % 40) + 0.5e0 AS x, (c_custkey // 40) + 0.5e0 AS y, CAST(c_acctbal AS DOUBLE) AS a, "
+    "CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey + 1.0e0 END AS b, c_nationkey + 3.0e0 AS d FROM customer)"
+)
 _GRID = (
     "WITH s AS (SELECT greatest(20, CAST(floor(sqrt(40 * (SELECT count(*) FROM supplier))) AS BIGINT)) AS d), "
     "n AS (SELECT unnest(range(d * d)) AS i, d FROM s), "
@@ -257,16 +341,11 @@ ORACLE_SQL |= {
     + _HAVERSINE.replace("r.x - f.x", "r.x + r.c0 - f.x") + f" AS km {_JOINED})",
     "euclid_pairs": f"SELECT f.id, round(sqrt((f.c0 - r.c0) * (f.c0 - r.c0) + (f.c1 - r.c1) * (f.c1 - r.c1)), 6) AS distance {_JOINED}",
     "index_stats_ll": _index_sql(1.0, 2000.0),
+    "index_stats_weighted": _index_sql(1.0, 2000.0, "sum", "inverse_geog", 0.5),
     "index_stats_ll_clim": _index_sql(0.5),
     "index_stats_none": _index_sql(),
-    "velocity_grid": _GRID
-    + "p AS (SELECT f.id AS focal_index, f.x AS focal_x, f.y AS focal_y, r.id AS analog_index, r.x AS analog_x, r.y AS analog_y, "
-    + "sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) AS clim, " + _PLANAR + " AS geog "
-    + "FROM a f, a r WHERE (f.id * 7919) % 1000 < 10 AND sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) <= 0.5) "
-    + "SELECT focal_index, focal_x, focal_y, analog_index, analog_x, analog_y, round(clim, 6) AS clim_dist, round(geog, 6) AS geog_dist "
-    + "FROM (SELECT *, row_number() OVER (PARTITION BY focal_index ORDER BY geog, analog_index) AS n FROM p) WHERE n = 1",
     # The least distance of each focal cell, then the least index at it: no pair is sorted.
-    "velocity_grid_full": _GRID
+    "velocity_grid": _GRID
     + "p AS (SELECT f.id AS focal_index, f.x AS focal_x, f.y AS focal_y, r.id AS analog_index, r.x AS analog_x, r.y AS analog_y, "
     + "sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) AS clim, " + _PLANAR + " AS geog "
     + "FROM a f, a r WHERE sqrt((f.c0 - (r.c0 + 0.5e0)) * (f.c0 - (r.c0 + 0.5e0)) + (f.c1 - r.c1 * 0.5e0) * (f.c1 - r.c1 * 0.5e0)) <= 0.5), "
@@ -276,4 +355,10 @@ ORACLE_SQL |= {
     + "FROM a f JOIN b ON f.id = b.i JOIN a r ON r.id = b.n) "
     + "SELECT focal_index, focal_x, focal_y, analog_index, analog_x, analog_y, round(clim, 6) AS clim_dist, round(geog, 6) AS geog_dist FROM q",
     "stream_availability": ORACLE_SQL["availability_ll"],
+    "row_numbers": _sql("self", "all", max_clim=1.0, max_geog=2000.0),
+    "euclid_arrays": "SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6) AS distance FROM embeddings",
+    "raster_cells": f"SELECT id, x, y, round(a, 6) AS a, round(b, 6) AS b, round(d, 6) AS d FROM ({_CELLS})",
+    "raster_layers": f"SELECT id, x, y, round((b + d) / 2, 6) AS mean, round(ln(d), 6) AS logged FROM ({_CELLS}) WHERE x BETWEEN 5 AND 30",
+    "grid_sample": "SELECT CAST(100 AS BIGINT) AS rows, CAST(100 AS BIGINT) AS ids",
+    "validation": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(bad).lower()})" for n, _, bad in _ARGUMENTS) + ") t(argument, refused)",
 }

@@ -48,8 +48,22 @@ def test_plans(spark):
     assert "embedding" in read and "label" not in read.splitlines()[0]
 
 
-def test_entry_without_llm(monkeypatch):
-    import __spark_entry__ as entry
-
-    assert set(queries.QUERIES) <= set(entry.queries())
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+@pytest.mark.parametrize("name", ["knn_geog_unfiltered_ll", "knn_clim_unfiltered_xy", "knn_default_k"])
+def test_unfiltered_neighbours_join_by_cells(spark, name):
+    plan = plan_of(queries.QUERIES[name](spark, DATA)).split("== Physical Plan ==")[-1]
+    assert "Join" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_entry_without_llm(tmp_path):
+    """The library and its entry without the corpus operators, in a process of its own."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    assert not (copy / "climekin" / "llm").exists()
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout
+    assert out.split() == [str(len(queries.QUERIES)), "True", "False"]
