@@ -29,6 +29,8 @@ MAX_DIMS = 3
 MIN_CELLS = 12.0
 #: Up to so many pairs the nested loop is as good as a grid.
 SMALL_PRODUCT = 2_000_000
+#: Points of the larger side in a cell from which on the cell is dealt over several tasks.
+SALT_ROWS = 100_000
 #: A side of at most so many rows (8 bytes a column) is broadcast.
 BROADCAST_CELLS = 2_000_000
 
@@ -103,6 +105,19 @@ def _small(n: int, columns: int) -> bool:
     return n * columns <= BROADCAST_CELLS
 
 
+def _salted(placed: DataFrame, binned: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: a hot cell's points are dealt, and what meets them is repeated."""
+    hot = binned.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+    # At most one cell for every SALT_ROWS points.
+    if rows // SALT_ROWS * (len(keys) + 1) <= BROADCAST_CELLS:
+        hot = F.broadcast(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*[c for c in binned.columns if c not in keys]), salts).cast("int")
+    one = binned.join(hot, keys, "left").withColumn("salt", salt).drop("salts")
+    many = placed.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return many, one
+
+
 def candidates(focal: DataFrame, ref: DataFrame, plan: Plan, stats: dict) -> DataFrame:
     """Pairs with columns f_id, f_x, ..., r_id, r_x, ...; a superset of the matches."""
     n_focal, n_ref = stats["focal"]["n"], stats["ref"]["n"]
@@ -123,10 +138,14 @@ def candidates(focal: DataFrame, ref: DataFrame, plan: Plan, stats: dict) -> Dat
         placed = placed.withColumn("shift", F.explode(shifts))
         placed = placed.withColumns({k: F.col(k) + F.col(f"shift.o{i}") for i, k in enumerate(keys) if plan.widths[i]}).drop("shift")
     binned = large.withColumns(dict(zip(keys, _cells(large, plan))))
+    shuffled = not _small(stats["focal" if focal_first else "ref"]["n"] * len(offsets), width)
+    if shuffled:
+        placed, binned = _salted(placed, binned, keys, max(n_focal, n_ref))
+        keys = [*keys, "salt"]
     a, b = (placed, binned) if focal_first else (binned, placed)
     f, r = _wide(a, "f"), _wide(b, "r")
     on = [F.col(f"f_{k}") == F.col(f"r_{k}") for k in keys]
-    if _small(stats["focal" if focal_first else "ref"]["n"] * len(offsets), width):
+    if not shuffled:
         f, r = (F.broadcast(f), r) if focal_first else (f, F.broadcast(r))
     return f.join(r, on).drop(*[f"{s}_{k}" for s in "fr" for k in keys])
 

@@ -168,3 +168,19 @@ def test_boxes_find_the_nearest(spark, monkeypatch, mode, coords):
     for k in (1, 7):
         a, b = (sorted((x["focal_index"], x["analog_index"]) for x in search(focal, ref, mode, k=k, coord_type=coords, plan=p).collect()) for p in (None, "cross"))
         assert a == b and len(a) == k * len(focal)
+
+
+def test_hot_cells_are_dealt(spark, monkeypatch):
+    """Neither side is broadcast, and a third of the points lies in one cell."""
+    from climekin.operators import candidates
+
+    r = np.random.default_rng(4)
+    ref = pd.DataFrame(np.vstack((r.normal(0, 3, (200, 4)), np.tile([1.0, 1.0, 0.5, 0.5], (100, 1)))), columns=["x", "y", "c0", "c1"])
+    focal = ref.iloc[::3].reset_index(drop=True)
+    want = indices(search(focal, ref, "all", 0.7, 1.0, plan="cross", **P))
+    monkeypatch.setattr(candidates, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(candidates, "SALT_ROWS", 10)
+    monkeypatch.setattr(candidates, "SMALL_PRODUCT", 0)
+    for f, g in ((focal, ref), (ref, focal)):
+        got = indices(search(f, g, "all", 0.7, 1.0, plan="grid", **P))
+        assert got == (want if f is focal else sorted((b, a) for a, b in want)) and len(got) > 100
