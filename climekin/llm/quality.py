@@ -14,7 +14,8 @@ lines, and their repetition.  Whole texts are read.
 Defined cases: null text counts as empty and gets the score of its features
 like any other; labelled rows whose label or id is null, or whose document is
 missing, are not used; labels that all agree (or none) give the score 0.5 to
-every text; rows that repeat an id get a row each; an empty table gives no
+every text; rows that repeat an id get a score each, an id with labels that differ
+isn't used to fit, and of a labelled id each different text is; an empty table gives no
 rows; other columns pass through ``keep_good``.
 
 Bound: at most ``FIT_ROWS`` labelled rows (the smallest seeded hashes) are
@@ -117,7 +118,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str
     """A model from labelled documents, on at most ``rows`` of them."""
     spark = docs.sparkSession
     got = labels.select(F.col(key).cast("long").alias("lk"), F.col(label).cast("int").alias("y")).where("lk is not null and y in (0, 1)")
-    some = got.orderBy(F.xxhash64("lk", F.lit(17)), "lk", "y").limit(rows).dropDuplicates(["lk"])
+    some = got.groupBy("lk").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    some = some.orderBy(F.xxhash64("lk", F.lit(17)), "lk").limit(rows)
     texts = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # The broadcast side has at most ``rows`` rows.
     labelled = texts.join(F.broadcast(some), F.col("k") == F.col("lk")).select("k", "y", "t")
@@ -127,10 +129,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str
             x = [features(t.as_py()).tolist() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    table = labelled.mapInArrow(measure, "k long, y int, x array<double>").toPandas()
+    measured = labelled.mapInArrow(measure, "k long, y int, x array<double>").distinct()
+    # The bound holds for rows that repeat labelled ids, too.
+    table = measured.orderBy(F.xxhash64("k", F.lit(17)), "k", "x").limit(rows).toPandas()
     if table.empty:
         return Model(None, None, None, None, None)
-    table = table.drop_duplicates("k").sort_values("k")
+    table = table.sort_values("k", kind="stable")
     return fit(np.array(table["x"].tolist()), table["y"].to_numpy())
 
 

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from climekin.llm.scratch import stage
 from climekin.llm import html_extract, mixing, packing, quality, queries, topk_search
 from tests.llm.common import DATA, DOCS, EDGE, HAVE_DATA, LONG, frame
 from tests.llm.test_dedup import brute
@@ -325,6 +327,39 @@ def test_quality(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, s in got.items() if s >= quality.THRESHOLD}
 
 
+def test_quality_of_repeated_ids(spark):
+    """The model doesn't depend on the order of rows: ids with contradicting labels aren't used, every different text is."""
+    rows, labels = labelled(np.random.default_rng(6), 120)
+    rows += [(3, "Another text of it."), (3, "Another text of it."), rows[5]]
+    labels += [(7, 1 - labels[7][1], 0), labels[9]]
+    scores = []
+    for order in (1, -1):
+        docs, marks = frame(spark, rows[::order]).repartition(3), spark.createDataFrame(labels[::order], "doc_id long, quality int, toxic int")
+        model = quality.fit_on(docs, marks)
+        scores.append(sorted((r["doc_id"], r["score"]) for r in quality.score_documents(docs, model).collect()))
+    assert scores[0] == scores[1] and len(scores[0]) == len(rows)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    rows, labels = labelled(np.random.default_rng(8), 60)
+    odd = [*EDGE, (1, "a b c d e f g"), (500, None), (None, None), (2, "Another text under an id that is taken. It is quite good.")]
+    for name, some, marks in (("odd", [*rows, *[(None if i is None else 1000 + i, t) for i, t in odd]], labels), ("empty", [], []), ("bare", odd, [])):
+        path = f"file://{tmp_path}/{name}"
+        docs = frame(spark, some).withColumn("node", F.lit(1)) if some else spark.createDataFrame([], DOCS)
+        docs.repartition(2).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        got = corpus_pipeline.run(spark, path).collect()
+        assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got[0].asDict() if got else corpus_pipeline.run(spark, path).columns)
+        assert (not some) == (not got)
+        if name == "bare":
+            # Without labels all pass the classifier; one of each group of copies goes on, the rest by the mix.
+            texts = {}
+            for i, t in odd:
+                texts.setdefault(t or "", set()).add(i)
+            kept = {max((i for i in ids if i is not None), default=None) for ids in texts.values()}
+            assert {r["doc_id"] for r in got} <= kept
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, EDGE)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -368,7 +403,7 @@ def test_pipeline(spark):
     before = docs.toPandas()
     columns = list(before.columns)
     for name, function in corpus_pipeline.STAGES:
-        after_df = corpus_pipeline.stage(function(spark, docs, DATA), "test-stage")
+        after_df = stage(function(spark, docs, DATA), "test-stage")
         after = after_df.toPandas()
         ids, kept = before["doc_id"].tolist(), after["doc_id"].tolist()
         if name != "packing":
@@ -397,8 +432,6 @@ def test_pipeline(spark):
 
 
 def test_topk_different_vectors_of_one_query(spark):
-    from pyspark.sql import functions as F
-
     rows = [(0, [1, 0]), (0, [0, 1]), (0, [0, 1]), (1, [9, 0]), (2, [0, 8]), (3, [7, 7]), (4, [1, 1])]
     docs = spark.createDataFrame(rows, "vec_id long, vector array<long>")
     got = sorted(tuple(x) for x in topk_search.search(docs, F.col("vec_id") == 0, k=4).select("rank", "vec_id", "score").collect())
