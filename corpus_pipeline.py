@@ -4,7 +4,14 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept,
 and gives rows with the columns of documents; the last one gives the packed
 pieces.  ``run`` writes each stage's rows to the shared scratch folder as
 Parquet and rereads them, so that a lost executor never sends the work back
-over several stages.
+over several stages; a stage's rows are deleted once its successor's are written.
+
+Defined cases: a null text counts as empty and passes a stage like any other
+(empty texts are one group of exact copies); of rows that repeat id and text
+one stays; rows of one id with different texts are documents each; a null id
+stays unless its text has a copy with an id; labels that are missing, null or
+contradict each other aren't used, and without any all documents pass the
+first stage; empty tables give no rows; other columns pass up to the packing.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from climekin.llm import exact_dedup, mixing, near_dedup, packing, quality
-from climekin.llm.scratch import stage
+from climekin.llm.scratch import Tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        after = Tables(spark)
+        docs = after.stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before:
+            before.drop()
+        before = after
     return docs
