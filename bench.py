@@ -36,7 +36,7 @@ def main() -> None:
     cells, later = grid(spark, 1000, 1).cache(), grid(spark, 1000, 2).cache()
     cells.count(), later.count()
     o = {"coord_type": "projected", "focal_id": "id", "ref_id": "id"}
-    for n in (100, 1000):
+    for n in (100, 1000, 10_000):
         some = sample(cells, n).cache()
         some.count()
         runs[f"harness_velocity_{n}"] = lambda some=some: api.velocity(some, later, 0.5, **o)
@@ -50,8 +50,10 @@ def main() -> None:
         run().write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    # The largest harness run is listed, but no part of the total, which stays comparable.
+    total = sum(t for n, t in times.items() if not n.endswith("_10000"))
     sf = sf_dir.rstrip("/").rpartition("sf")[2]
-    print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
+    print(json.dumps({"metric": "total seconds of the headline queries", "value": round(total, 3), "unit": "sec", "queries": times, "sf": sf}))
 
 
 if __name__ == "__main__":
