@@ -55,6 +55,8 @@ BATCH_BYTES = 4 << 20
 #: Bytes of texts for each shard, at least, and for each group of a shard, about.
 SHARD_BYTES = 4 << 20
 GROUP_BYTES = 8 << 20
+#: Arrays of a group: segments of one anchor go to one, and smaller arrays keep to the processor's cache.
+ARRAYS = 8
 #: Segments that one block holds before it sends them on.
 HELD_SEGMENTS = 400_000
 #: Repeated spans that a task holds before it sends them on.
@@ -246,7 +248,7 @@ def _merged(docs, rows, starts, ends) -> tuple[np.ndarray, ...]:
 
 
 #: kind 0: settled repeats (places with their own documents and ends); kind 1: segments with their places.
-_SEGMENTS = pa.schema([(n, pa.int32()) for n in ("shard", "group", "kind", "block")] + [(n, pa.binary()) for n in ("docs", "lengths", "data", "of", "rows", "starts")])
+_SEGMENTS = pa.schema([(n, pa.int32()) for n in ("shard", "group", "kind", "block")] + [(n, pa.binary()) for n in ("docs", "lengths", "data", "of", "rows", "starts", "arrays")])
 _I8, _I4, _U1 = "<i8", "<i4", "<u1"
 
 
@@ -255,7 +257,7 @@ def _segments(shards: int, groups: int):
 
     def send(held: list, block: int):
         """One row for each group with segments of this block, and one of settled repeats."""
-        doc, row, start, length, group, words = (np.concatenate(x) for x in zip(*held))
+        doc, row, start, length, group, words, array = (np.concatenate(x) for x in zip(*held))
         order, first = _equal(words, length, group)
         size = np.diff(np.append(first, len(order)))
         least = np.minimum.reduceat(doc[order], first)
@@ -270,7 +272,7 @@ def _segments(shards: int, groups: int):
         late = order[~own]
         if len(late):
             d, r, s, e = _merged(doc[late], row[late], start[late], start[late] + length[late])
-            add(block % shards, -1, 0, block, d.astype(_I8).tobytes(), (e - s).astype(_I8).tobytes(), b"", b"", r.astype(_I8).tobytes(), s.astype(_I8).tobytes())
+            add(block % shards, -1, 0, block, d.astype(_I8).tobytes(), (e - s).astype(_I8).tobytes(), b"", b"", r.astype(_I8).tobytes(), s.astype(_I8).tobytes(), b"")
         one, kept, of = order[first], order[own], entry[own]
         number = group[one]
         cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(one)]
@@ -278,7 +280,7 @@ def _segments(shards: int, groups: int):
         for a, b, p, q in zip(cuts, cuts[1:], places, places[1:]):
             data = _bytes_of(words[one[a:b]], length[one[a:b]]).tobytes()
             g = int(number[a])
-            add(g // groups, g % groups, 1, block, least[a:b].astype(_I8).tobytes(), length[one[a:b]].astype(_U1).tobytes(), data, (of[p:q] - a).astype(_I4).tobytes(), row[kept[p:q]].astype(_I8).tobytes(), start[kept[p:q]].astype(_I8).tobytes())
+            add(g // groups, g % groups, 1, block, least[a:b].astype(_I8).tobytes(), length[one[a:b]].astype(_U1).tobytes(), data, (of[p:q] - a).astype(_I4).tobytes(), row[kept[p:q]].astype(_I8).tobytes(), start[kept[p:q]].astype(_I8).tobytes(), array[one[a:b]].tobytes())
         return pa.RecordBatch.from_pydict(out, schema=_SEGMENTS)
 
     def by_block(batches):
@@ -300,7 +302,7 @@ def _segments(shards: int, groups: int):
             first, length, text, f = first[hot], stop[hot] - first[hot], text[hot], f[hot]
             names = np.array(rows, np.int64)[text]
             group = (f % _U(shards)).astype(np.int64) * groups + (f // _U(shards) % _U(groups)).astype(np.int64)
-            yield names[:, 0], names[:, 1], first - starts[text] + np.array(bases)[text], length, group, _words_of(data, first, length)
+            yield names[:, 0], names[:, 1], first - starts[text] + np.array(bases)[text], length, group, _words_of(data, first, length), (f // _U(shards * groups) % _U(ARRAYS)).astype(np.uint8)
 
     def cut(batches):
         with np.errstate(over="ignore"):
@@ -353,13 +355,19 @@ def _repeats(parts: list[tuple]) -> list[np.ndarray]:
     rows, starts = (np.concatenate([np.frombuffer(p[i], _I8) for p in parts]) for i in (8, 9))
     block = np.repeat([p[3] for p in parts], counts)[of]
     words = _words_of(b"".join(p[6] for p in parts), np.cumsum(lengths) - lengths, lengths)
-    order, first = _equal(words, lengths, np.zeros(len(docs), np.int8))
+    array = np.concatenate([np.frombuffer(p[10], _U1) for p in parts])
+    order, first = _equal(words, lengths, array)
     one = order[first]
     entry = np.empty(len(docs), np.int64)
     entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     own = lengths[one]
     at = np.cumsum(own + 1) - own - 1
-    least = first_documents(_bytes_of(words[one], own, bytes([SEPARATOR])), at, own, np.minimum.reduceat(docs[order], first))
+    smallest, edges = np.minimum.reduceat(docs[order], first), np.searchsorted(array[one], np.arange(ARRAYS + 1))
+    least = []
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            least.append(first_documents(_bytes_of(words[one[a:b]], own[a:b], bytes([SEPARATOR])), at[a:b] - at[a], own[a:b], smallest[a:b]))
+    least = np.concatenate(least)
     del words
     # The windows of a segment overlap, as it is shorter than two of them: from the first repeated one to the last all goes.
     out = []
@@ -453,7 +461,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hits = tables.stage(counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shared, "block int, shard int, prints binary"), "repeat-hits")
     hits = hits.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"), F.col("shard").cast("long").alias("row"), F.col("prints").alias("t"))
     dealt = hits.unionByName(rows).repartition(shards, "block").sortWithinPartitions("block", "kind", "k")
-    segments = dealt.mapInArrow(_segments(shards, groups), "shard int, group int, kind int, block int, docs binary, lengths binary, data binary, of binary, rows binary, starts binary")
+    segments = dealt.mapInArrow(_segments(shards, groups), "shard int, group int, kind int, block int, docs binary, lengths binary, data binary, of binary, rows binary, starts binary, arrays binary")
     judged = segments.repartition(shards, "shard").sortWithinPartitions("shard", "group").mapInArrow(_judge, "block int, docs binary, rows binary, starts binary, ends binary")
     merged = judged.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(_merge, "sk long, srow long, spans binary")
     return tables.result(merged, "repeat-spans")
