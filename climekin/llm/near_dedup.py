@@ -172,6 +172,7 @@ def _sign(bands: int, rows: int, size: int):
                         keys, hashes, sets, total = [], [], [], 0
             if keys:
                 yield flush(keys, hashes, sets)
+        _words.clear()  # later stages of the worker need the memory
 
     return sign
 
@@ -183,6 +184,7 @@ def _sets(size: int):
                 for a in range(0, batch.num_rows, 500):
                     part = batch.slice(a, 500)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], ["node", "members"])
+        _words.clear()
 
     return make
 
