@@ -133,8 +133,9 @@ def check_packing(rows, texts, capacity):
     ids = {}
     for r in rows:
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        whole = ids.setdefault(r["doc_id"], [*library(WORDS, texts[r["doc_id"]]), 0])
-        piece = whole[r["start"] : r["start"] + r["length"]]
+        if r["doc_id"] not in ids:
+            ids[r["doc_id"]] = [*library(WORDS, texts[r["doc_id"]]), 0]
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert len(piece) == r["length"] and r["start"] == r["piece"] * capacity
         assert r["ids_crc32"] == zlib.crc32(np.array(piece, "<u4").tobytes())
     for parts in by_sequence.values():
