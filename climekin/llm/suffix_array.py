@@ -104,7 +104,7 @@ def _induce_wide(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.nda
     ends = np.cumsum(sizes)
     heads = ends - sizes
     blocks = min(256, 1 + n // 2048)
-    block = (np.maximum(ends, 1) - 1) * blocks // n
+    block = ((np.maximum(ends, 1) - 1) * blocks // n).astype(np.int16)  # 16 bits are sorted by radix
     place = np.full(n, -1, np.int64)
 
     def put(items: np.ndarray, from_end: bool) -> None:

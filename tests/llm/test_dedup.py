@@ -360,6 +360,37 @@ def test_substrings_in_small_parts(spark, monkeypatch):
     assert want
 
 
+def test_only_long_matches_reach_the_arrays():
+    # Texts that share 30 bytes send no segment; those that share LENGTH bytes do, wherever the anchor lies.
+    r = np.random.default_rng(7)
+    letters = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8)).decode()
+    phrases = [letters(30) for _ in range(50)]
+    rows = [(k, "".join(letters(int(r.integers(60, 90))) + p for p in phrases)) for k in range(20)]
+    with np.errstate(over="ignore"):
+        assert _sent(rows) == []
+        for _ in range(100):
+            passage = letters(substring_dedup.LENGTH)
+            assert [np.frombuffer(x, "<i8").tolist() for x in _spans([(1, "<" + passage + "." + letters(40)), (2, letters(40) + ">" + passage + "|")])] == [[41, 91]]
+
+
+def _segments(rows):
+    import pyarrow as pa
+
+    keyed = [(0, 1, k, k, t.encode()) for k, t in rows]
+    of = lambda rows, kinds: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], list("abcde")[: len(kinds)])
+    counts = list(substring_dedup._count(1)(iter([of([(b, k, t) for b, _, k, _, t in keyed], (pa.int32(), pa.int64(), pa.binary()))])))
+    hits = [(0, 0, 0, s, f) for x in substring_dedup._shared(iter(counts)) for s, f in zip(x["shard"].to_pylist(), x["prints"].to_pylist())]
+    return list(substring_dedup._segments(1, 1)(iter([of(hits + keyed, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))])))
+
+
+def _sent(rows):
+    return [d for x in _segments(rows) for d, kind in zip(x["docs"].to_pylist(), x["kind"].to_pylist()) if kind == 1]
+
+
+def _spans(rows):
+    return [s for x in substring_dedup._merge(substring_dedup._judge(iter(_segments(rows)))) for s in x["spans"].to_pylist()]
+
+
 def _batch(rows):
     import pyarrow as pa
 
