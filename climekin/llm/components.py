@@ -46,7 +46,7 @@ def connect(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     spark = links.sparkSession
     stage = (tables or Tables(spark)).stage
     links = stage(links.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "links")
-    labels = spark.createDataFrame([], "node long, root long")
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
     while not links.isEmpty():
         parents = links.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("p"))
         up = parents.select(F.col("x").alias("px"), F.col("p").alias("pp"))

@@ -47,12 +47,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climekin.llm.components import relabel
-from climekin.llm.scratch import Tables, small, stage, with_columns_free
+from climekin.llm.scratch import Tables, batches_of, release_memory, small, stage, with_columns_free
 
 BANDS, ROWS = 25, 5
 SHINGLE = 5
 #: Documents are signed together up to so many shingles.
 BATCH_SHINGLES = 150_000
+#: Rows that a worker gets at once; texts and sets of more would take a good part of an executor's memory.
+BATCH_ROWS = 1000
 #: Bytes of a text that are split into words together.
 TEXT_BYTES = 4 << 20
 #: Members, and shingles of all their sets, that one block of a bucket holds, about.
@@ -173,6 +175,7 @@ def _sign(bands: int, rows: int, size: int):
             if keys:
                 yield flush(keys, hashes, sets)
         _words.clear()  # later stages of the worker need the memory
+        release_memory()
 
     return sign
 
@@ -185,6 +188,7 @@ def _sets(size: int):
                     part = batch.slice(a, 500)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], ["node", "members"])
         _words.clear()
+        release_memory()
 
     return make
 
@@ -283,6 +287,8 @@ def _link(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
         if rows and (found := work(rows)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
+        rows = []
+        release_memory()
 
     return link
 
@@ -361,6 +367,11 @@ def _other_cells(members: DataFrame, labels: DataFrame, tables: Tables) -> DataF
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """k, h (of the text), n (shingles), node, component of every row; links are sets with 100 * common >= percent * union."""
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _classes(docs, key, text, percent, size, bands, rows)
+
+
+def _classes(docs: DataFrame, key: str, text: str, percent: int, size: int, bands: int, rows: int) -> DataFrame:
     spark = docs.sparkSession
     tables = Tables(spark)
     texts = docs.select(F.col(key).cast("long").alias("k"), _text_hash(text).alias("h"), F.col(text).alias("t"))
@@ -393,7 +404,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         dealt = full.repartition(tasks, *cell).sortWithinPartitions(*cell, "node")
         return tables.stage(dealt.mapInArrow(_link(percent), "u long, v long"), "near-links")
 
-    labels = tables.stage(spark.createDataFrame([], "node long, root long"), "labels")
+    # Rows of Python, even none, would start workers that stay beside those of the other steps.
+    labels = tables.stage(spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")), "labels")
     labels = relabel(labels, links(_own_cells(member, buckets, tables)), tables)
     labels = relabel(labels, links(_other_cells(member, labels, tables)), tables)
 

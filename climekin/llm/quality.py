@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climekin.llm.scratch import with_columns_free
+from climekin.llm.scratch import release_memory, with_columns_free
 
 #: Labelled rows used to fit, at most.
 FIT_ROWS = 12_000
@@ -159,8 +160,10 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     n = with_columns_free(["good"], docs.columns)["good"]
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts])) >= threshold if len(texts) else [], dtype=bool)
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(np.array([features(t) for t in texts])) >= threshold if len(texts) else [], dtype=bool)
+        release_memory()
 
     return docs.withColumn(n, good(F.col(text))).where(n).drop(n)
 

@@ -360,6 +360,38 @@ def test_substrings_in_small_parts(spark, monkeypatch):
     assert want
 
 
+def test_near_dedup_keeps_workers_small(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sign = spark.conf.get(name, None), near_dedup._sign
+
+    def checked(*options):
+        work = sign(*options)
+
+        def small(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.num_rows <= 1000
+                    yield batch
+
+            return work(seen())
+
+        return small
+
+    monkeypatch.setattr(near_dedup, "_sign", checked)
+    rows = [(k, f"one text of many words that has number {k // 2} in it") for k in range(2500)]
+    got = near_dedup.near_report(frame(spark, rows).coalesce(1)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {k: k // 2 * 2 for k, _ in rows}
+    assert spark.conf.get(name, None) == before
+
+
+def test_near_dedup_releases_memory(monkeypatch):
+    calls = []
+    monkeypatch.setattr(near_dedup, "release_memory", lambda: calls.append(1), raising=False)
+    for work in (near_dedup._sign(2, 2, 5), near_dedup._sets(5), near_dedup._link(85)):
+        assert list(work(iter([]))) == []
+    assert len(calls) == 3
+
+
 def test_only_long_matches_reach_the_arrays():
     # Texts that share 30 bytes send no segment; those that share LENGTH bytes do, wherever the anchor lies.
     r = np.random.default_rng(7)
