@@ -154,16 +154,6 @@ def _placed(small: DataFrame, plan: Plan, keys: list[str]) -> DataFrame:
     return out
 
 
-def _crowded(small: DataFrame, large: DataFrame, plan: Plan, keys: list[str]) -> bool:
-    """Whether a cell may get more than SALT_ROWS points of a side, by the points whose own cell it is."""
-    around = math.prod(3 for w in plan.widths if w)
-    for df, times in ((small, around), (large, 1)):
-        most = df.select(*[c.alias(k) for c, k in zip(_cells(df, plan), keys)]).groupBy(*keys).count().agg(F.max("count")).first()[0]
-        if (most or 0) * times > SALT_ROWS:
-            return True
-    return False
-
-
 def _salted(placed: DataFrame, binned: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with salts: each side's points of a hot cell are dealt, and the other's repeated for each share."""
     counts = [df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias(n)) for df, n in ((placed, "shares"), (binned, "salts"))]
@@ -206,13 +196,10 @@ def candidates(focal: DataFrame, ref: DataFrame, plan: Plan, stats: dict, sphere
         return f.crossJoin(r)
     keys = [f"g{i}" for i in range(len(plan.keys))]
     copies = math.prod(3 for w in plan.widths if w) if "s0" not in plan.keys else SPHERE_COPIES * math.prod(3 for k, w in zip(plan.keys, plan.widths) if w and k[0] != "s")
-    shuffled = spread or not _small(n_small * copies, width)
-    if shuffled:
-        # Else one task makes all copies of a table of one file.
-        small, large = (df.repartition(tasks(spark, 0, n_small * copies + n_large)) for df in (small, large))
     placed = _placed(small, plan, keys)
     binned = large.withColumns(dict(zip(keys, _cells(large, plan))))
-    if shuffled and _crowded(small, large, plan, keys):
+    shuffled = spread or not _small(n_small * copies, width)
+    if shuffled:
         placed, binned = _salted(placed, binned, keys, n_small * copies + n_large)
         keys = [*keys, "share", "salt"]
     a, b = (placed, binned) if focal_first else (binned, placed)
